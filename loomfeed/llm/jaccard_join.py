@@ -74,9 +74,9 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
                         keys[k // ROWS, full] = wordnp.mix(keys[k // ROWS, full] + low)
                 flat = pa.array(keys.T.copy().view(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), bands], names=["doc_id", "n", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), bands], names=["doc_id", "n", "digest", "bands"]).append_column("th", b.column(2).slice(lo, hi - lo))
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, th long")
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -291,21 +291,21 @@ def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot: int
     shingles (A-Z lower-cased). component_id is the smallest id that links reach, its own
     included. Null and wordless texts have no shingles and link with nothing; rows with a
     null id get a null component and link with nothing; repeated rows give repeated
-    results; rows of one id with different texts share their links. An empty table gives
+    results; of one id with different texts one text takes part and all its rows share the component. An empty table gives
     no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profiles = materialise(_profiles(rows, n), "profiles")
-    known = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    # one text of each id takes part
+    known = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("th", "n", "digest", "bands")).alias("x")).select("doc_id", "x.*")
+    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     name = f"loomfeed_texts_{uuid.uuid4().hex}"
     # texts of the classes' first documents, dealt out by id once; later joins on the id move only ids
-    reps = classes.select("doc_id", "digest")
     parts = partitions(spark)
-    one = rows.where("doc_id IS NOT NULL").select("doc_id", "text").join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
-    one.repartition(parts, "doc_id").write.bucketBy(parts, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
+    one = rows.select("doc_id", F.xxhash64("text").alias("th"), "text").join(classes.select("doc_id", F.col("th").alias("own")), "doc_id").where("th = own").select("doc_id", "text").dropDuplicates(["doc_id"])
+    one.write.bucketBy(parts, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
     try:
         texts = spark.table(name)
         # near copies that share a band: verified against the band's first document

@@ -30,6 +30,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "quality.n_bytes", "quality.perplexity", "quality.threshold", "quality.kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -49,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_embedding_dedup, op5_substring_dedup, op7_best_fit_packing, op8_jaccard_join, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op3_embedding_dedup, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

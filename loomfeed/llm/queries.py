@@ -29,6 +29,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -62,8 +68,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .license_scan import oracle_sql as license_sql
+
+    return {"op4_license_scan": license_sql()}

@@ -61,6 +61,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digests
 
@@ -68,7 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op9_lm_score, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,7 +66,7 @@ def record_failures(pending: DataFrame, failures: DataFrame, keys: list[str]) ->
     """pending with attempts + 1, the error and the next due time of the failed rows. failures: keys, error, failed_at, retry_after (seconds or null)."""
     f = failures.select(*keys, F.col("error").alias("_e"), F.col("failed_at").alias("_t"), F.col("retry_after").alias("_r"))
     hit, n = F.col("_t").isNotNull(), F.col("attempts") + 1
-    delay = F.coalesce(F.least(F.greatest("_r", F.lit(0)), F.lit(86400)), backoff_seconds(n))
+    delay = F.when(F.col("_r").isNotNull(), F.least(F.greatest("_r", F.lit(0)), F.lit(86400))).otherwise(backoff_seconds(n))
     j = pending.join(f, keys, "left")
     return j.withColumns({"attempts": F.when(hit, n).otherwise(F.col("attempts")), "last_error": F.when(hit, F.col("_e")).otherwise(F.col("last_error")), "next_attempt": F.when(hit, F.timestamp_seconds(F.unix_timestamp("_t") + delay)).otherwise(F.col("next_attempt"))}).drop("_e", "_t", "_r")
 

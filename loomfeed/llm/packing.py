@@ -22,6 +22,36 @@ from .memo import Memo, Unsafe
 _encoders: dict = {}
 
 
+def _rank_encoder(tk):
+    """text -> packed ids by ranks, several times faster than the library on short parts; None unless ids follow the merges' order."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    model = json.loads(tk.to_str())["model"]
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if model.get("ignore_merges") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    made = [vocab.get(a + b) for a, b in merges]
+    if None in made or made != sorted(made):
+        return None
+    # byte-level vocabularies write a byte as a printable character: itself, or the next free one from 256
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    singles = {c: vocab[c] for c in char if c in vocab}
+    if len(singles) < 256:
+        return None
+    ranks = {bytes([char[c]]): i for c, i in singles.items()} | {bytes(map(char.__getitem__, a + b)): i for (a, b), i in zip(merges, made, strict=True)}
+    encode = tiktoken.Encoding(f"ranks-{id(tk)}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def pack(text: str) -> bytes:
+        ids = encode(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return pack
+
+
 def _encoder(path: str):
     """text -> ids as little-endian uint32 bytes, as the tokenizers library gives them; one per worker."""
     if path in _encoders:
@@ -36,7 +66,8 @@ def _encoder(path: str):
         ids = tk.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    parts = Memo(lambda part: whole(" " + part))
+    fast = _rank_encoder(tk) if plain else None
+    parts = Memo((lambda part: fast(" " + part)) if fast else (lambda part: whole(" " + part)))
 
     def encode(text: str) -> bytes:
         head, _, rest = text.partition(" ")

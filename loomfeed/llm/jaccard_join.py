@@ -24,6 +24,7 @@ from .common import connected_components, discard, materialise, partitions
 
 BANDS, ROWS = 5, 4
 FRAGMENTS = 4
+DEBUG = False
 _ODD = [int.from_bytes(hashlib.md5(b"minhash %d" % i).digest()[:8], "little") | 1 for i in range(BANDS * ROWS)]
 _SHORT = np.uint64(24)  # the top 40 bits of a hash name an n-gram where only its frequency matters
 
@@ -48,8 +49,9 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarra
         values[~short] = g[bounds[:-1][text[~short]] + at[~short]]
         if short.any():
             values[short] = wordnp.sequences(h, bounds)[text[short]]
-        order = np.lexsort((values, text))
-        values, text = values[order], text[order]
+        ends = np.cumsum(own).tolist()
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            values[a:b].sort()
         keep = np.ones(len(text), bool)
         keep[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
         values, text = values[keep], text[keep]
@@ -149,9 +151,14 @@ def _postings(docs: DataFrame, n: int, percent: int, often) -> DataFrame:
                 if len(ids):
                     at = np.minimum(np.searchsorted(ids, values >> _SHORT), len(ids) - 1)
                     late = np.where(ids[at] == values >> _SHORT, rank[at], 0)
-                order = np.lexsort((values, late, text))
-                values, text = values[order], text[order]
-                pos = np.arange(len(text)) - bounds[:-1][text]
+                # places in the global order: the others by value, as they are, then the frequent ones by rank
+                pos = np.empty(len(text), np.int64)
+                rest, last = np.flatnonzero(late == 0), np.flatnonzero(late)
+                early = np.bincount(text[rest], minlength=len(size))
+                pos[rest] = np.arange(len(rest)) - (np.cumsum(early) - early)[text[rest]]
+                last = last[np.lexsort((values[last], late[last], text[last]))]
+                many = size - early
+                pos[last] = np.arange(len(last)) - (np.cumsum(many) - many)[text[last]] + early[text[last]]
                 keep = pos < prefix_size(size, percent)[text]
                 values, text, pos = values[keep], text[keep], pos[keep]
                 take = pa.array(text + lo)
@@ -161,7 +168,7 @@ def _postings(docs: DataFrame, n: int, percent: int, often) -> DataFrame:
 
 
 def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, half: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Pairs of one posting list that may link: different components, sizes and positions that allow enough overlap."""
+    """Pairs of one posting list that may link: different components; sizes and positions that allow enough overlap."""
     order = np.argsort(n, kind="stable")
     doc, comp, n, pos = doc[order], comp[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     half = half[order] if half is not None else None
@@ -271,8 +278,56 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, frag int, grams array<long>")
 
 
+def _sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text) -> (doc_id, sketch): a bit for each of at least 4n bins, set if an odd number of n-grams falls in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, values, bounds in shingle_sets(b.column(1), n):
+                out = []
+                for i in range(hi - lo):
+                    v = values[bounds[i] : bounds[i + 1]]
+                    bits = max(6, (4 * len(v) - 1).bit_length())
+                    odd = np.bincount((v >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1
+                    out.append(np.packbits(odd).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["doc_id", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
+
+
+def _fold(x: bytes, size: int) -> np.ndarray:
+    """A sketch with bins joined until it has `size` bytes; bins are leading bits of the hash, so neighbours join."""
+    bits = np.unpackbits(np.frombuffer(x, np.uint8))
+    return np.bitwise_xor.reduce(bits.reshape(size * 8, -1), axis=1)
+
+
+def _possible(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs whose sketches do not rule them out: two sets differ in at least as many n-grams as their sketches in bits."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sketches = materialise(_sketches(docs.join(ids, "doc_id"), n), "sketches")
+    both = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            most = na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
+            keep = []
+            for x, y, m in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), most.tolist(), strict=True):
+                if len(x) == len(y):
+                    keep.append((int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= m)
+                else:
+                    size = min(len(x), len(y))
+                    keep.append(int((_fold(x, size) ^ _fold(y, size)).sum()) <= m)
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    out = materialise(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long"), "possible")
+    discard(sketches)
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The (a, b) of pairs (a, b, na, nb) whose similarity is at least percent / 100: overlaps per fragment, summed per pair."""
+    pairs = _possible(pairs, docs, n, percent)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     segments = materialise(_fragments(docs.join(ids, "doc_id"), n), "segments")
     left = segments.select(F.col("doc_id").alias("a"), "frag", F.col("grams").alias("ga"))
@@ -280,6 +335,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     out = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
     out = materialise(out.select("a", "b"), "links")
+    if DEBUG:
+        print("pairs", pairs.count(), "links", out.count(), "docs", ids.count(), flush=True)
     discard(segments)
     return out
 

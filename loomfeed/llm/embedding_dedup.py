@@ -58,7 +58,7 @@ def signatures(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray
     x = np.pad(x, ((0, 0), (0, width - d)))
     rng = np.random.default_rng(seed)
     take = min(4, width)
-    out = np.empty((n, tables, probes), np.int32)
+    out = np.empty((n, tables, min(probes, take * take)), np.int32)
     for t in range(tables):
         code, loss = [], []
         for _ in range(2):
@@ -128,7 +128,7 @@ def _block(rows: dict[str, list], least: float, tables: int) -> tuple[np.ndarray
     own, side, t = np.array(rows["own"]), np.array(rows["side"]), rows["t"][0]
     base = np.flatnonzero(own & (side != 1))
     look = np.flatnonzero(side != 2)
-    found_i, found_j = [], []
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(0, len(look), 1024):
         i, j = np.nonzero(x[look[k : k + 1024]] @ x[base].T >= least)
         found_i.append(look[k + i])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import backoff_seconds
@@ -103,3 +103,36 @@ def health(df: DataFrame, now: Column, stale_hours: int = 26) -> Column:
     """error, never_synced, degraded, stale or healthy, in this precedence."""
     age = (F.unix_timestamp(now) - F.unix_timestamp("last_success")) / 3600
     return F.when(F.coalesce("last_error", F.lit("")) != "", "error").when(F.col("last_success").isNull(), "never_synced").when((F.coalesce("check_errors", F.lit("")) != "") | (F.coalesce("n_pending", F.lit(0)) > 0), "degraded").when(age > stale_hours, "stale").otherwise("healthy")
+
+
+def cache_validators(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The HTTP cache after fetches: a not-modified answer keeps old validators where the new ones are empty."""
+    keep = lambda c: F.when(F.col("n.status") == 304, F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}"))).otherwise(F.col(f"n.{c}"))
+    return upsert(cache, fetched, ["url"], {"etag": keep("etag"), "last_modified": keep("last_modified")})
+
+
+def check_streaks(checks: DataFrame, keys: list[str], at: str, ok: str) -> DataFrame:
+    """keys, failures: consecutive failures since the last success."""
+    last_ok = checks.where(F.col(ok)).groupBy(*keys).agg(F.max(at).alias("_ok"))
+    after = checks.where(~F.col(ok)).join(last_ok, keys, "left").where(F.col("_ok").isNull() | (F.col(at) > F.col("_ok")))
+    n = after.groupBy(*keys).agg(F.count("*").alias("failures"))
+    return checks.select(*keys).distinct().join(n, keys, "left").select(*keys, F.coalesce("failures", F.lit(0)).alias("failures"))
+
+
+def mark_read(articles: DataFrame, where: Column, now: Column) -> DataFrame:
+    """articles with read_at set where it was not, and the column changed."""
+    hit = where & F.col("read_at").isNull()
+    return articles.withColumns({"read_at": F.when(hit, now).otherwise(F.col("read_at")), "changed": F.coalesce(hit, F.lit(False))})
+
+
+def insert_missing(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """state and the rows whose key it does not have; of several new rows of a key one."""
+    new = rows.dropDuplicates([key]).join(state.select(key), key, "left_anti")
+    return state.unionByName(new)
+
+
+def next_numbers(rows: DataFrame, state: DataFrame, number: str, within: str, order: list[str]) -> DataFrame:
+    """rows numbered after the largest number that their group has in state."""
+    top = state.groupBy(within).agg(F.max(number).alias("_top"))
+    w = Window.partitionBy(within).orderBy(*order)
+    return rows.join(top, within, "left").withColumn(number, F.coalesce("_top", F.lit(0)) + F.row_number().over(w)).drop("_top")

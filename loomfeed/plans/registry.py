@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions import values as V
-from ..operators import folds, joins, publish, state, usage
+from ..operators import decisions, folds, joins, publish, state, usage
 from ..session import table
 from ..sources import feeds, html
 
@@ -506,3 +506,53 @@ def set_diff_keys(spark, d):
 @query("SELECT source, count(*) AS n_rows, count(*) < greatest(3, 60 // 5) AS drifted FROM documents GROUP BY 1")
 def parser_drift(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n_rows")).withColumn("drifted", F.col("n_rows") < F.greatest(F.lit(3), F.floor(F.lit(60) / 5)))
+
+
+# --- decisions -----------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN s IN (408, 409, 425) OR s >= 500 THEN 'ambiguous' WHEN s IN (401, 402, 404, 429) OR event_type = 'signup' THEN 'fallback' ELSE 'final' END AS failure FROM (SELECT *, 400 + event_id % 120 AS s FROM events) t")
+def failure_classes(spark, d):
+    code = F.when(F.col("event_type") == "signup", "no_output").otherwise("other")
+    return table(spark, d, "events").select("event_id", decisions.failure_class(400 + F.col("event_id") % 120, code).alias("failure"))
+
+
+@query(f"WITH h AS (SELECT user_id, bool_or(c = 'ambiguous') AS a, bool_or(c = 'paid_failure') AS p, bool_or(c = 'fallback_pending') AS f FROM (SELECT user_id, {_CLASS} AS c FROM events WHERE event_id % 40 = 0) t GROUP BY 1) SELECT u.user_id, CASE WHEN coalesce(a, false) AND u.user_id % 7 <> 0 THEN 'held_ambiguous' WHEN coalesce(p, false) AND u.user_id % 3 <> 0 AND u.user_id % 7 <> 0 THEN 'held_paid' WHEN coalesce(f, false) THEN 'continue' ELSE 'send' END AS decision FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN h USING (user_id)")
+def hold_admission(spark, d):
+    e = table(spark, d, "events")
+    c = F.when(F.col("event_type") == "error", "ambiguous").when(F.col("event_type") == "purchase", "paid_failure").otherwise("fallback_pending")
+    requests = e.select("user_id").distinct().withColumns({"retry_paid": F.col("user_id") % 3 == 0, "force": F.col("user_id") % 7 == 0})
+    return decisions.admission(requests, e.where("event_id % 40 = 0").select("user_id", c.alias("hold_class")), "user_id").select("user_id", "decision")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'sent' WHEN event_type = 'purchase' THEN 'succeeded' WHEN 400 + event_id % 120 IN (408, 409, 425) OR 400 + event_id % 120 >= 500 THEN 'ambiguous' WHEN 400 + event_id % 120 IN (401, 402, 404, 429) AND event_id % 5 < 3 THEN 'retry' ELSE 'failed' END AS state, CASE WHEN event_type = 'view' THEN 1 WHEN event_type <> 'purchase' AND (400 + event_id % 120 IN (408, 409, 425) OR 400 + event_id % 120 >= 500) AND event_id % 2 = 0 THEN 1 ELSE 0 END AS reservation_active FROM events")
+def attempt_settlement(spark, d):
+    e = table(spark, d, "events")
+    attempts = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 5).alias("attempt"), F.lit("sent").alias("state"), F.lit(1).alias("reservation_active"), F.lit(None).cast("long").alias("actual_total"))
+    outcomes = e.where("event_type <> 'view'").select(F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("ok"), (400 + F.col("event_id") % 120).alias("status"), F.lit("other").alias("code"), F.when(F.col("event_id") % 2 == 1, F.col("event_id")).alias("used"))
+    return decisions.settle(attempts, outcomes).select("id", "state", "reservation_active")
+
+
+@query("SELECT event_id, event_id % 50 AS input, event_id % 30 AS output, greatest(event_id % 50 + event_id % 30, CASE WHEN event_id % 2 = 1 THEN 3 ELSE 0 END) AS total FROM events")
+def reported_usage(spark, d):
+    body = F.when(F.col("event_id") % 2 == 0, F.format_string('{"input_tokens":%d,"output_tokens":%d}', F.col("event_id") % 50, F.col("event_id") % 30)).otherwise(F.format_string('{"prompt_tokens":%d,"completion_tokens":%d,"total_tokens":3}', F.col("event_id") % 50, F.col("event_id") % 30))
+    u = table(spark, d, "events").where("event_id % 50 + event_id % 30 >= 0").select("event_id", decisions.reported_usage(body).alias("u"))
+    return u.select("event_id", "u.input", "u.output", "u.total")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error' AND event_id > last_ok) AS failures FROM (SELECT *, coalesce(max(CASE WHEN event_type <> 'error' THEN event_id END) OVER (PARTITION BY user_id), -1) AS last_ok FROM events) t GROUP BY 1")
+def check_streaks(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return state.check_streaks(e, ["user_id"], "event_id", "ok")
+
+
+@query("SELECT d.doc_id, d.source, coalesce(m.top, 0) + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS revision FROM documents d LEFT JOIN (SELECT source, max(n_chars) AS top FROM documents WHERE doc_id % 4 = 0 GROUP BY 1) m USING (source) WHERE d.doc_id % 4 <> 0")
+def reserve_revisions(spark, d):
+    docs = table(spark, d, "documents")
+    have = docs.where("doc_id % 4 = 0").select("source", F.col("n_chars").alias("revision"))
+    return state.next_numbers(docs.where("doc_id % 4 <> 0").select("doc_id", "source"), have, "revision", "source", ["doc_id"]).select("doc_id", "source", "revision")
+
+
+@query()
+def fit_payloads(spark, d):
+    return table(spark, d, "documents").select("doc_id", decisions.fit_payload(F.col("text"), 600, lang=F.col("lang")).alias("payload"))

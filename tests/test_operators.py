@@ -81,3 +81,31 @@ def test_packet_is_the_longest_that_fits(spark):
 def test_snapshot_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None)], "b int, a string")
     assert df.select(publish.snapshot_row("b", "a")).first()[0] == '{"a":null,"b":1}'
+
+
+def test_fit_and_json():
+    from loomfeed.functions.values import canonical_json
+    from loomfeed.operators.decisions import fit_one
+
+    got = fit_one({"text": "é" * 50, "lang": "en"}, "text", 60)
+    assert len(canonical_json(got).encode()) in (59, 60) and got["lang"] == "en"
+    assert fit_one({"text": "x", "lang": "y" * 90}, "text", 60) is None
+
+
+def test_valid_json(spark):
+    from loomfeed.operators.decisions import valid_json
+
+    df = spark.createDataFrame([('{"a":1}',), ('{"a":1,"a":2}',), ('{"a":NaN}',), ("[]",), (None,)], "v string")
+    assert [r[0] for r in df.select(valid_json("v")).collect()] == [True, False, False, False, None]
+
+
+def test_cache_keeps_validators(spark):
+    c = spark.createDataFrame([("u", 200, "e1", "m1")], "url string, status int, etag string, last_modified string")
+    n = spark.createDataFrame([("u", 304, "", "m2"), ("v", 200, "", "")], c.schema)
+    assert rows(state.cache_validators(c, n)) == [("u", 304, "e1", "m2"), ("v", 200, "", "")]
+
+
+def test_mark_read_and_insert(spark):
+    a = spark.createDataFrame([(1, None), (2, "x")], "id int, read_at string")
+    assert rows(state.mark_read(a, F.col("id") > 0, F.lit("now"))) == [(1, "now", True), (2, "x", False)]
+    assert rows(state.insert_missing(a, spark.createDataFrame([(2, "y"), (3, "z"), (3, "z")], a.schema), "id"), "id") == [(1,), (2,), (3,)]

@@ -24,7 +24,6 @@ from .common import connected_components, discard, materialise, partitions
 
 BANDS, ROWS = 5, 4
 FRAGMENTS = 4
-DEBUG = False
 _ODD = [int.from_bytes(hashlib.md5(b"minhash %d" % i).digest()[:8], "little") | 1 for i in range(BANDS * ROWS)]
 _SHORT = np.uint64(24)  # the top 40 bits of a hash name an n-gram where only its frequency matters
 
@@ -159,18 +158,22 @@ def _postings(docs: DataFrame, n: int, percent: int, often) -> DataFrame:
                 last = last[np.lexsort((values[last], late[last], text[last]))]
                 many = size - early
                 pos[last] = np.arange(len(last)) - (np.cumsum(many) - many)[text[last]] + early[text[last]]
+                # 128 bins of each set, odd or even: two sets differ in at least as many n-grams as bins
+                odd = np.zeros((len(size), 128), np.uint8)
+                np.add.at(odd, (text, (values & np.uint64(127)).astype(np.int64)), 1)
+                words = np.packbits(odd & 1, axis=1).view(np.int64)
                 keep = pos < prefix_size(size, percent)[text]
                 values, text, pos = values[keep], text[keep], pos[keep]
                 take = pa.array(text + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(size[text].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["gram", "doc_id", "comp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(size[text].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(words[text, 0]), pa.array(words[text, 1])], names=["gram", "doc_id", "comp", "n", "pos", "s0", "s1"])
 
-    return docs.select("doc_id", "text", "comp").mapInArrow(run, "gram long, doc_id long, comp long, n int, pos int")
+    return docs.select("doc_id", "text", "comp").mapInArrow(run, "gram long, doc_id long, comp long, n int, pos int, s0 long, s1 long")
 
 
-def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, half: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Pairs of one posting list that may link: different components; sizes and positions that allow enough overlap."""
+def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, s0: np.ndarray, s1: np.ndarray, percent: int, half: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Pairs of one posting list that may link: different components; sizes, positions and bins that allow enough overlap."""
     order = np.argsort(n, kind="stable")
-    doc, comp, n, pos = doc[order], comp[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+    doc, comp, n, pos, s0, s1 = doc[order], comp[order], n[order].astype(np.int64), pos[order].astype(np.int64), s0[order], s1[order]
     half = half[order] if half is not None else None
     end = np.searchsorted(n, 100 * n // percent, "right")
     out = [[], [], [], []]
@@ -178,6 +181,8 @@ def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarr
         j = slice(i + 1, end[i])
         least = -(-percent * (n[i] + n[j]) // (100 + percent))
         ok = (comp[j] != comp[i]) & (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+        bins = np.bitwise_count((s0[j] ^ s0[i]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s1[j] ^ s1[i]).view(np.uint64))
+        ok &= bins <= n[i] + n[j] - 2 * least
         if half is not None:
             ok &= half[j] != half[i]
         k = np.flatnonzero(ok) + i + 1
@@ -187,7 +192,7 @@ def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarr
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-_PAIRS = "a long, b long, na long, nb long, gram long, comp long, pos int"
+_PAIRS = "a long, b long, na long, nb long, gram long, comp long, pos int, s0 long, s1 long"
 
 
 def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
@@ -198,7 +203,7 @@ def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
 
         def rows(x: np.ndarray) -> pa.RecordBatch:
             k = x.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array(x[1]), pa.nulls(k, pa.int64()), pa.array(x[3]), pa.nulls(k, pa.int64()), pa.array(x[0]), pa.array(x[2]), pa.array(x[4].astype(np.int32))], names=["a", "b", "na", "nb", "gram", "comp", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(x[1]), pa.nulls(k, pa.int64()), pa.array(x[3]), pa.nulls(k, pa.int64()), pa.array(x[0]), pa.array(x[2]), pa.array(x[4].astype(np.int32)), pa.array(x[5]), pa.array(x[6])], names=["a", "b", "na", "nb", "gram", "comp", "pos", "s0", "s1"])
 
         def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not x.shape[1]:
@@ -219,10 +224,10 @@ def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
                 a, b, na, nb = map(np.concatenate, out)
                 _, one = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) < 200_000 else (None, slice(None))
                 k = len(a[one])
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(na[one]), pa.array(nb[one]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names=["a", "b", "na", "nb", "gram", "comp", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(na[one]), pa.array(nb[one]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["a", "b", "na", "nb", "gram", "comp", "pos", "s0", "s1"])
 
         for b in batches:
-            x = np.stack([b.column(k).to_numpy().astype(np.int64) for k in ("gram", "doc_id", "comp", "n", "pos")])
+            x = np.stack([b.column(k).to_numpy().astype(np.int64) for k in ("gram", "doc_id", "comp", "n", "pos", "s0", "s1")])
             x = x if held is None else np.concatenate([held, x], axis=1)
             if not x.shape[1]:
                 continue
@@ -250,11 +255,11 @@ def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
 def _tiles(rows: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of long posting lists: the list is dealt into blocks, each two of which meet in one task."""
     sizes = materialise(rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "tiles")
-    r = rows.join(sizes, "gram").select("gram", "a", "comp", "na", "pos", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("i"))
-    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "a", "comp", "na", "pos")
+    r = rows.join(sizes, "gram").select("gram", "a", "comp", "na", "pos", "s0", "s1", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("i"))
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "a", "comp", "na", "pos", "s0", "s1")
 
     def run(key, t):
-        cols = [t.column(k).to_numpy() for k in ("a", "comp", "na", "pos")]
+        cols = [t.column(k).to_numpy() for k in ("a", "comp", "na", "pos", "s0", "s1")]
         a, b, na, nb = _group_pairs(*cols, percent, half=None if key[1].as_py() == key[2].as_py() else t.column("i").to_numpy())
         return pa.table({"a": a, "b": b, "na": na, "nb": nb})
 
@@ -335,8 +340,6 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     out = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
     out = materialise(out.select("a", "b"), "links")
-    if DEBUG:
-        print("pairs", pairs.count(), "links", out.count(), "docs", ids.count(), flush=True)
     discard(segments)
     return out
 

@@ -344,7 +344,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return out
 
 
-def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| of their distinct n-word

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfeed.llm import license_scan, quality
-from loomfeed.llm.attention import CLASSES, CONTEXT, NEW, Attention, windows
+from loomfeed.llm.attention import CLASSES, CONTEXT, NEW, Attention, Pass, features, windows
 from loomfeed.llm.common import connected_components
 from loomfeed.llm.jaccard_join import similarity_classes
-from loomfeed.llm.lm_score import Scorer, score
+from loomfeed.llm.lm_score import Scorer, _features, _id_streams, score, subwords, train_all
 from loomfeed.llm.substring_dedup import remove_repeats
 
 
@@ -180,3 +180,31 @@ def test_scores(docs, none, corpus):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(counts[x] > 0 for x in w), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and -1e6 < r.score < 0
     assert score(none, *args).count() == 0
+
+
+def test_attention_learns_from_every_training_window(spark, docs, corpus):
+    args = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    sub = subwords(*args)
+    rows = docs.selectExpr("coalesce(text, '') AS text", "doc_id % 10 > 0 AS kept").repartition(5)
+    streams = _id_streams(rows, *args)
+    texts = {i: np.concatenate([np.frombuffer(sub[w], np.int32) for w in words(t, True)] + [np.frombuffer(sub.tail, np.int32)]) for i, t in corpus}
+    top = np.array([sub.end, 17, 300])
+    assert (_features(streams, top, sub.size) == sum(features([x], top, sub.size) for x in texts.values())).all()
+    model = Attention(sub.size, np.random.default_rng(1).integers(0, CLASSES, sub.size), np.full(sub.size, 0.5))
+    before = model.E.copy()
+    kept = [texts[i] for i in texts if i % 10]
+    w, real = windows(kept, sub.end, model.pad)
+    loss = -model.log_p(w)[real].mean()
+    assert train_all(model, streams.where("kept"), sub.end) == len(w)  # the text of 6000 words too, to its end
+    assert set(np.flatnonzero((model.E != before).any(1))) == set(np.unique(w[:, :-1])) - {model.pad}
+    assert -model.log_p(w)[real].mean() < loss
+
+
+def test_pass_uses_each_window_once():
+    w, _ = windows([np.arange(NEW * 50, dtype=np.int32) % 30], 0, 30)
+    over = Pass(Attention(30, np.arange(30) % CLASSES, np.full(30, 0.5)), batch=16)
+    over.add(w[:23])
+    over.add(w[23:])
+    assert over.windows == 48 and len(over.rest) == 2
+    over.close()
+    assert over.windows == 50 and over.seen.sum() == (w[:, :-1] != 30).sum()

@@ -208,3 +208,7 @@ def test_pass_uses_each_window_once():
     assert over.windows == 48 and len(over.rest) == 2
     over.close()
     assert over.windows == 50 and over.seen.sum() == (w[:, :-1] != 30).sum()
+
+
+def test_attention_has_all_its_classes():
+    assert CLASSES == 96

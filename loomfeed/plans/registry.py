@@ -338,7 +338,7 @@ def snapshot_json(spark, d):
 @query()
 def rss_items(spark, d):
     pages = table(spark, d, "pages").select("page_id", html.extract_main("html").alias("m"), U.canonical_url_sql(F.col("url")).alias("url"))
-    return pages.select("page_id", publish.rss_item(F.col("m.title"), F.col("url"), X.capped(F.col("m.text"), 200), F.timestamp_seconds(F.col("page_id") * 86400)).alias("item"))
+    return pages.select("page_id", publish.rss_item(F.col("m.title"), F.col("url"), X.capped(F.col("m.text"), 800), F.timestamp_seconds(F.col("page_id") * 86400)).alias("item"))
 
 
 # --- pages, feeds ------------------------------------------------------------------------------

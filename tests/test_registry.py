@@ -1,5 +1,6 @@
 """Every registered query of the engine runs, and equals its DuckDB twin where it has one."""
 
+import html
 import math
 
 import duckdb
@@ -35,3 +36,11 @@ def test_query(spark, duck, name):
         cur = duck.execute(sql)
         at = [[x[0] for x in cur.description].index(c) for c in cols]
         assert got == sorted((tuple(norm(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+
+
+def test_rss_items_keep_the_summary(spark):
+    got = {r.page_id: html.unescape(r.item.split("<description>")[1].split("</description>")[0]) for r in registry.queries()["rss_items"](spark, D).collect()}
+    text = {r.page_id: " ".join((r.text or "").split()) for r in registry.queries()["extract_main"](spark, D).collect()}
+    assert any(len(t) > 200 for t in text.values())
+    for i, t in text.items():
+        assert len(got[i]) <= 800 and (got[i] == t if len(t) <= 800 else got[i][:780] == t[:780]), i

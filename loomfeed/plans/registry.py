@@ -413,7 +413,7 @@ def _merged(spark, d):
     o = table(spark, d, "orders")
     row = lambda x: x.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("source"), (F.col("o_orderkey") % 40).cast("string").alias("ext"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderpriority").alias("title"))
     stored = row(o.where("o_orderkey % 7 < 3 AND o_custkey % 50 < 40")).withColumn("seen", F.lit(False)).dropDuplicates(["source", "ext"])
-    batch = row(o.where("o_orderkey % 7 >= 2")).withColumnRenamed("id", "pos")
+    batch = row(o.where("o_orderkey % 7 >= 2 OR o_custkey % 50 >= 40")).withColumnRenamed("id", "pos")
     return state.merge_by_either_key(stored, batch, "source", "ext", "url", ["title"], "pos")
 
 

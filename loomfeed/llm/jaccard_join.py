@@ -1,11 +1,13 @@
 """Similarity classes of documents by the Jaccard similarity of their word n-grams.
 
-The global order puts n-grams by document frequency: those below a frequency come first by
-hash, frequent ones last. Documents that link share an n-gram of their prefixes in that
-order. The order is cut vertically into fragments; for every candidate pair the overlaps
-are counted per fragment and summed, which is exact. Equal sets are one class and
-compared once; classes that MinHash bands and a verified comparison already join are not
-paired again, as the result needs connected components only.
+The global order puts n-grams by document frequency, ties by hash. Documents are dealt
+into blocks of bounded size; a block sends its distinct n-grams once, packed by hash range,
+each range sums them over all blocks, and the frequencies travel back. An n-gram of one set
+only is in no overlap, so it takes its place in the order but moves no further. Two sets
+that link share an n-gram of their prefixes in that order. The order is cut into fragments
+at fixed frequencies; for every candidate pair the overlaps are counted per fragment and
+summed, which is exact. Equal sets are one class and compared once; classes that verified
+links already join are not paired again, as the result needs connected components only.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordnp
 from .common import connected_components, discard, materialise, partitions
 
-BANDS, ROWS = 5, 4
-FRAGMENTS = 4
-_ODD = [int.from_bytes(hashlib.md5(b"minhash %d" % i).digest()[:8], "little") | 1 for i in range(BANDS * ROWS)]
-_SHORT = np.uint64(24)  # the top 40 bits of a hash name an n-gram where only its frequency matters
+#: Document frequencies at which the second and later fragments of the order begin.
+PIVOTS = (3, 8, 64)
+_KEY = np.uint64(16)  # the top 48 bits of a hash name an n-gram where frequencies are counted; those of two that share them add up
+_SEGMENT = "cid long, n int, frag int, first int, grams array<long>, s0 long, s1 long, sketch binary"
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,27 +60,16 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarra
         yield lo, hi, values, np.searchsorted(text, np.arange(hi - lo + 1))
 
 
-def _profiles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size of its set, digest of the set, MinHash band keys."""
+def _profiles(texts: DataFrame, n: int) -> DataFrame:
+    """(rid, doc_id, text) -> rid, doc_id, size of its set, digest of the set (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, values, bounds in shingle_sets(b.column(1), n):
-                size = np.diff(bounds)
-                full = np.flatnonzero(size)
-                digest: list[bytes | None] = [None] * (hi - lo)
-                for i in full:
-                    digest[i] = hashlib.md5(values[bounds[i] : bounds[i + 1]].tobytes()).digest()
-                keys = np.zeros((BANDS, hi - lo), np.uint64)
-                if len(full):
-                    for k, odd in enumerate(_ODD):
-                        low = np.minimum.reduceat(values * np.uint64(odd), bounds[full])
-                        keys[k // ROWS, full] = wordnp.mix(keys[k // ROWS, full] + low)
-                flat = pa.array(keys.T.copy().view(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), bands], names=["doc_id", "n", "digest", "bands"]).append_column("th", b.column(2).slice(lo, hi - lo))
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, th long")
+            for lo, hi, values, bounds in shingle_sets(b.column(2), n):
+                digest = [hashlib.md5(values[x:y].tobytes()).digest() if x < y else None for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)), pa.array(digest, pa.binary())], names=["rid", "doc_id", "n", "digest"])
+
+    return texts.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n long, digest binary")
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -96,40 +88,48 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(delta, dtype=np.uint64), counts
 
 
-def _frequent(docs: DataFrame, n: int, least: int, parts: int) -> DataFrame:
-    """(id, df) of the n-grams in at least `least` documents, counted over all documents."""
+def _sets(texts: pa.Table, own: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts whose rid is in own: rids, sizes, all values, the text of each value, and the sorted distinct keys of the values."""
+    t = texts.filter(pc.is_in(texts.column("rid"), own))
+    parts = list(shingle_sets(t.column("text"), n))
+    size = np.concatenate([np.diff(p[3]) for p in parts]) if parts else np.zeros(0, np.int64)
+    values = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint64)
+    return t.column("rid").to_numpy(), size, values, np.repeat(np.arange(len(size)), size), np.unique(values >> _KEY)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            ids, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            held.clear()
-            cut = np.searchsorted(ids, (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**40).astype(np.uint64))
-            rows = [(k, _pack(ids[cut[k] : cut[k + 1]], c[cut[k] : cut[k + 1]])) for k in range(parts) if cut[k] < cut[k + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "packed"])
+def _requests(texts: DataFrame, classes: DataFrame, n: int, parts: int) -> DataFrame:
+    """(block, part, packed): for each block and hash range the distinct keys of its sets, and in how many of them each is."""
 
-        size = 0
-        for b in batches:
-            for _, _, values, _ in shingle_sets(b.column(1), n):
-                held.append(values >> _SHORT)
-                size += len(values)
-                if size > 6_000_000:
-                    yield flush()
-                    size = 0
-        yield flush()
-
-    def total(key, table):
-        ids, counts = zip(*map(_unpack, table.column("packed").to_pylist()), strict=True)
-        ids, counts = np.concatenate(ids), np.concatenate(counts)
-        order = np.argsort(ids, kind="stable")
-        ids, counts = ids[order], counts[order]
-        at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        ids, counts = ids[at], np.add.reduceat(counts, at)
-        keep = counts >= least
-        return pa.table({"id": ids[keep].astype(np.int64), "df": counts[keep].astype(np.int64)})
-
-    return docs.mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(total, "id long, df long")
+    def run(left, right):
+        _, _, values, _, keys = _sets(left, right.column("cid").combine_chunks(), n)
+        counts = np.bincount(np.searchsorted(keys, values >> _KEY), minlength=len(keys))
+        cut = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**48).astype(np.uint64))
+        at = np.flatnonzero(cut[1:] > cut[:-1])
+        packed = [_pack(keys[cut[k] : cut[k + 1]], counts[cut[k] : cut[k + 1]]) for k in at]
+        block = left.column("block")[0].as_py() if left.num_rows else 0
+        return pa.table({"block": pa.array([block] * len(at), pa.int32()), "part": pa.array(at, pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    return texts.select("block", "rid", "text").groupBy("block").cogroup(classes.select("block", "cid").groupBy("block")).applyInArrow(run, "block int, part int, packed binary")
+
+
+def frequency_level(df: np.ndarray) -> np.ndarray:
+    """A byte that does not fall as the frequency grows; 0 for 1, one step for each frequency to 129, then eight for each doubling."""
+    high = 128 + np.floor(8 * np.log2(np.maximum(df, 129) / 129))
+    return np.where(df <= 129, df - 1, np.minimum(high, 255)).astype(np.uint8)
+
+
+def _levels(requests: DataFrame) -> DataFrame:
+    """(block, part, levels): the level of each key of a request, in its order."""
+
+    def run(key, t):
+        got = [_unpack(x) for x in t.column("packed").to_pylist()]
+        keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        level = frequency_level(np.bincount(at, np.concatenate([g[1] for g in got]).astype(np.float64), len(keys)))[at]
+        ends = np.cumsum([len(g[0]) for g in got])
+        out = [pa.compress(level[e - len(g[0]) : e].tobytes(), codec="zstd", asbytes=True) for e, g in zip(ends.tolist(), got, strict=True)]
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "size": pa.array(np.diff(ends, prepend=0), pa.int32()), "levels": pa.array(out, pa.binary())})
+
+    return requests.groupBy("part").applyInArrow(run, "block int, part int, size int, levels binary")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -137,37 +137,61 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _postings(docs: DataFrame, n: int, percent: int, often) -> DataFrame:
-    """(doc_id, text, comp) -> (gram, doc_id, comp, n, pos) for the n-grams of each prefix."""
+def _sketch(v: np.ndarray) -> bytes:
+    """A bit for each of at least 4n bins, set if an odd number of values falls in it."""
+    bits = max(6, (4 * len(v) - 1).bit_length())
+    odd = np.bincount((v >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rank = often.value
-        for b in batches:
-            for lo, _, values, bounds in shingle_sets(b.column(1), n):
-                size = np.diff(bounds)
-                text = np.repeat(np.arange(len(size)), size)
-                late = np.zeros(len(values), np.int64)
-                if len(ids):
-                    at = np.minimum(np.searchsorted(ids, values >> _SHORT), len(ids) - 1)
-                    late = np.where(ids[at] == values >> _SHORT, rank[at], 0)
-                # places in the global order: the others by value, as they are, then the frequent ones by rank
-                pos = np.empty(len(text), np.int64)
-                rest, last = np.flatnonzero(late == 0), np.flatnonzero(late)
-                early = np.bincount(text[rest], minlength=len(size))
-                pos[rest] = np.arange(len(rest)) - (np.cumsum(early) - early)[text[rest]]
-                last = last[np.lexsort((values[last], late[last], text[last]))]
-                many = size - early
-                pos[last] = np.arange(len(last)) - (np.cumsum(many) - many)[text[last]] + early[text[last]]
-                # 128 bins of each set, odd or even: two sets differ in at least as many n-grams as bins
-                odd = np.zeros((len(size), 128), np.uint8)
-                np.add.at(odd, (text, (values & np.uint64(127)).astype(np.int64)), 1)
-                words = np.packbits(odd & 1, axis=1).view(np.int64)
-                keep = pos < prefix_size(size, percent)[text]
-                values, text, pos = values[keep], text[keep], pos[keep]
-                take = pa.array(text + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(size[text].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(words[text, 0]), pa.array(words[text, 1])], names=["gram", "doc_id", "comp", "n", "pos", "s0", "s1"])
-
-    return docs.select("doc_id", "text", "comp").mapInArrow(run, "gram long, doc_id long, comp long, n int, pos int, s0 long, s1 long")
+
+def _segments(texts: DataFrame, classes: DataFrame, levels: DataFrame, n: int, percent: int) -> DataFrame:
+    """The n-grams of each set that other sets hold, cut along the global order.
+
+    One row per set and fragment: the n-grams in order and the place of the first. Sets
+    whose prefix holds only n-grams of their own are left out. The first row of a set
+    carries its sketch. s0, s1: 128 bins of the whole set, odd or even.
+    """
+    pivots = frequency_level(np.array(PIVOTS))
+
+    def run(left, right):
+        cid = right.column("cid").combine_chunks()
+        rid, size, values, text, keys = _sets(left, cid.drop_null(), n)
+        got = sorted((p, s, x) for p, s, x in zip(right.column("part").to_pylist(), right.column("size").to_pylist(), right.column("levels").to_pylist(), strict=True) if p is not None)
+        level = np.frombuffer(b"".join(pa.decompress(x, decompressed_size=s, codec="zstd", asbytes=True) for _, s, x in got), np.uint8)
+        assert len(level) == len(keys), "requests and levels of a block differ"
+        level = level[np.searchsorted(keys, values >> _KEY)]
+        odd = np.zeros((len(size), 128), np.uint8)
+        np.add.at(odd, (text, (values & np.uint64(127)).astype(np.int64)), 1)
+        bins = np.packbits(odd & 1, axis=1).view(np.int64)
+        begin = np.cumsum(size) - size
+        sketch = {}
+        order = np.lexsort((values, level, text))
+        g, lv = values[order], level[order]
+        pos = np.arange(len(g)) - begin[text]
+        live = np.zeros(len(size), bool)
+        live[text[(lv > 0) & (pos < prefix_size(size, percent)[text])]] = True
+        for i in np.flatnonzero(live).tolist():
+            sketch[i] = _sketch(values[begin[i] : begin[i] + size[i]])
+        keep = (lv > 0) & live[text]
+        g, tx, pos, frag = g[keep], text[keep], pos[keep], np.searchsorted(pivots, lv[keep], "right")
+        new = np.flatnonzero(np.append(True, (tx[1:] != tx[:-1]) | (frag[1:] != frag[:-1]))) if len(g) else np.zeros(0, np.int64)
+        grams = pa.ListArray.from_arrays(pa.array(np.append(new, len(g)).astype(np.int32)), pa.array(g.view(np.int64)))
+        of = tx[new]
+        first = np.append(True, of[1:] != of[:-1]) if len(of) else np.zeros(0, bool)
+        marks = [sketch[i] if f else None for i, f in zip(of.tolist(), first.tolist(), strict=True)]
+        cols = [rid[of], size[of].astype(np.int32), frag[new].astype(np.int32), pos[new].astype(np.int32), grams, bins[of, 0], bins[of, 1], pa.array(marks, pa.binary())]
+        return pa.table(dict(zip(("cid", "n", "frag", "first", "grams", "s0", "s1", "sketch"), map(pa.array, cols), strict=True)))
+
+    info = classes.select("block", "cid", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("levels"))
+    info = info.unionByName(levels.select("block", F.lit(None).cast("long").alias("cid"), "part", "size", "levels"))
+    return texts.select("block", "rid", "text").groupBy("block").cogroup(info.groupBy("block")).applyInArrow(run, _SEGMENT)
+
+
+def _postings(segments: DataFrame, percent: int) -> DataFrame:
+    """(gram, cid, n, pos, s0, s1) of the n-grams in the prefixes that other sets hold."""
+    s = segments.withColumn("left", F.expr(f"n - (({percent}L * n + 99) div 100) + 1 - first")).where("left > 0")
+    s = s.select("cid", "n", "first", "s0", "s1", F.posexplode(F.slice("grams", F.lit(1), F.col("left").cast("int"))).alias("i", "gram"))
+    return s.select("gram", "cid", "n", (F.col("first") + F.col("i")).alias("pos"), "s0", "s1")
 
 
 def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, s0: np.ndarray, s1: np.ndarray, percent: int, half: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -266,51 +290,16 @@ def _tiles(rows: DataFrame, percent: int, block: int) -> DataFrame:
     return r.groupBy("gram", "x", "y").applyInArrow(run, "a long, b long, na long, nb long")
 
 
-def _fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, frag, grams), the set cut at fixed points of the global order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, values, bounds in shingle_sets(b.column(1), n):
-                frag = (values >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
-                text = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                key = text * FRAGMENTS + frag
-                cut = np.searchsorted(key, np.arange((hi - lo) * FRAGMENTS + 1)).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(cut), pa.array(values.view(np.int64)))
-                k = np.arange((hi - lo) * FRAGMENTS)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k // FRAGMENTS + lo)), pa.array((k % FRAGMENTS).astype(np.int32)), grams], names=["doc_id", "frag", "grams"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, frag int, grams array<long>")
-
-
-def _sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, sketch): a bit for each of at least 4n bins, set if an odd number of n-grams falls in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, values, bounds in shingle_sets(b.column(1), n):
-                out = []
-                for i in range(hi - lo):
-                    v = values[bounds[i] : bounds[i + 1]]
-                    bits = max(6, (4 * len(v) - 1).bit_length())
-                    odd = np.bincount((v >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1
-                    out.append(np.packbits(odd).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["doc_id", "sketch"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
-
-
 def _fold(x: bytes, size: int) -> np.ndarray:
     """A sketch with bins joined until it has `size` bytes; bins are leading bits of the hash, so neighbours join."""
     bits = np.unpackbits(np.frombuffer(x, np.uint8))
     return np.bitwise_xor.reduce(bits.reshape(size * 8, -1), axis=1)
 
 
-def _possible(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches do not rule them out: two sets differ in at least as many n-grams as their sketches in bits."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sketches = materialise(_sketches(docs.join(ids, "doc_id"), n), "sketches")
-    both = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    sketches = segments.where("sketch IS NOT NULL").select("cid", "sketch")
+    both = pairs.join(sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,72 +314,120 @@ def _possible(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                     keep.append(int((_fold(x, size) ^ _fold(y, size)).sum()) <= m)
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    out = materialise(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long"), "possible")
-    discard(sketches)
-    return out
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs (a, b, na, nb) whose similarity is at least percent / 100: overlaps per fragment, summed per pair."""
-    pairs = _possible(pairs, docs, n, percent)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    segments = materialise(_fragments(docs.join(ids, "doc_id"), n), "segments")
-    left = segments.select(F.col("doc_id").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = segments.select(F.col("doc_id").alias("b"), "frag", F.col("grams").alias("gb"))
+    pairs = materialise(_possible(pairs, segments, percent), "possible")
+    left = segments.select(F.col("cid").alias("a"), "frag", F.col("grams").alias("ga"))
+    right = segments.select(F.col("cid").alias("b"), "frag", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     out = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
     out = materialise(out.select("a", "b"), "links")
-    discard(segments)
+    discard(pairs)
+    return out
+
+
+def _nearest_leaders(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each set one pair at most: with the leader, drawn anew each turn, of the lists that it shares the most of."""
+    lead = postings.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "pos", "s0", "s1", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram", "l")
+    least = f"(({percent}L * (n + l.n) + {99 + percent}) div {100 + percent})"
+    near = postings.join(lead, "gram").where("comp <> l.comp").where(f"100L * least(n, l.n) >= {percent}L * greatest(n, l.n)")
+    near = near.where(f"least(pos, l.pos) + least(n - pos, l.n - l.pos) >= {least} AND bit_count(s0 ^ l.s0) + bit_count(s1 ^ l.s1) <= n + l.n - 2 * {least}")
+    near = near.groupBy("cid", "n", F.col("l.cid").alias("x"), F.col("l.n").alias("nx")).agg(F.count("*").alias("c"))
+    near = near.groupBy("cid", "n").agg(F.max_by(F.struct("x", "nx"), F.struct("c", F.xxhash64("x"))).alias("l"))
+    low = F.col("cid") < F.col("l.x")
+    side = lambda y, z: F.when(low, F.col(y)).otherwise(F.col(z)).cast("long")
+    return near.select(side("cid", "l.x").alias("a"), side("l.x", "cid").alias("b"), side("n", "l.nx").alias("na"), side("l.nx", "n").alias("nb")).distinct()
+
+
+def _links(segments: DataFrame, percent: int, hot: int, turns: int = 8) -> DataFrame:
+    """(u, v) that join the same sets as all links do."""
+    postings = materialise(_postings(segments, percent), "postings")
+    size, links, comps = postings.count(), [], None
+
+    def with_comps() -> DataFrame:
+        return postings.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component") if comps is not None else postings.withColumn("comp", F.col("cid"))
+
+    for turn in range(turns):
+        # pairs of different components that share a list, one for each list that they share
+        each = with_comps().groupBy("gram", "comp").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.expr("double(count) * count")).alias("q"))
+        if (each.agg(F.sum(F.expr("(double(s) * s - q) / 2"))).first()[0] or 0) <= 4 * size:
+            break
+        pairs = materialise(_nearest_leaders(with_comps(), percent, turn), "pairs")
+        found = verified(pairs, segments, percent)
+        discard(pairs)
+        links.append(found)
+        if found.isEmpty():
+            break
+        if comps is not None:
+            discard(comps)
+        edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links]
+        comps = materialise(connected_components(_union(edges)), "comps")
+    lists = with_comps()
+    live = lists.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
+    lists = lists.join(live, "gram", "left_semi").select("gram", F.col("cid").alias("doc_id"), "comp", "n", "pos", "s0", "s1")
+    found = materialise(_list_pairs(lists.repartition(partitions(postings.sparkSession), "gram").sortWithinPartitions("gram"), percent, hot), "candidates")
+    pairs = found.where("b IS NOT NULL").select("a", "b", "na", "nb")
+    pairs = materialise(pairs.unionByName(_tiles(found.where("b IS NULL"), percent, hot)).distinct(), "pairs")
+    links.append(verified(pairs, segments, percent))
+    out = materialise(_union([x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links]), "edges")
+    for x in (found, pairs, postings, *links, *([comps] if comps is not None else [])):
+        discard(x)
     return out
 
 
-def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot: int = 400, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| of their distinct n-word
-    shingles (A-Z lower-cased). component_id is the smallest id that links reach, its own
-    included. Null and wordless texts have no shingles and link with nothing; rows with a
-    null id get a null component and link with nothing; repeated rows give repeated
-    results; of one id with different texts one text takes part and all its rows share the component. An empty table gives
-    no rows. Other columns are ignored.
+    shingles (A-Z lower-cased), named by 64-bit hashes. component_id is the smallest id
+    that links reach, its own included. Null and wordless texts have no shingles and link
+    with nothing; rows with a null id get a null component and link with nothing; repeated
+    rows give repeated results; an id with different texts takes part with each of them,
+    and its rows share the component. An empty table gives no rows. Other columns are
+    ignored. Posting lists of more than `hot` rows are paired in blocks of that many;
+    both ways give the same pairs. A block of about `block_bytes` is one unit of work, a
+    longer text is one of its own.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profiles = materialise(_profiles(rows, n), "profiles")
-    # one text of each id takes part
-    known = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("th", "n", "digest", "bands")).alias("x")).select("doc_id", "x.*")
-    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks, parts = max(1, -(-n_bytes // block_bytes)), partitions(spark)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
     name = f"loomfeed_texts_{uuid.uuid4().hex}"
-    # texts of the classes' first documents, dealt out by id once; later joins on the id move only ids
-    parts = partitions(spark)
-    one = rows.select("doc_id", F.xxhash64("text").alias("th"), "text").join(classes.select("doc_id", F.col("th").alias("own")), "doc_id").where("th = own").select("doc_id", "text").dropDuplicates(["doc_id"])
-    one.write.bucketBy(parts, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
+    # all texts are dealt into blocks once; later steps move ids, requests and n-grams only
+    rows.select(block("rid"), "rid", "doc_id", "text").repartition(parts, "block").write.bucketBy(parts, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
     try:
         texts = spark.table(name)
-        # near copies that share a band: verified against the band's first document
-        band = classes.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-        anchor = materialise(band.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n")).alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "key", "a"), "anchors")
-        pairs = band.join(anchor, ["band", "key"]).select(F.col("a.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("a.n").alias("na"), F.col("n").alias("nb")).where("a <> b AND 100 * least(na, nb) >= %d * greatest(na, nb)" % percent).distinct()
-        links = verified(materialise(pairs, "pairs"), texts, n, percent)
-        comps = materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comps")
-        # all other links: the prefixes of the sets in the global order
-        least = max(50, total >> 20)  # at most 2**20 n-grams are this frequent
-        often = _frequent(rows, n, least, parts).toPandas().sort_values(["df", "id"])
-        rank = np.arange(1, len(often) + 1)
-        by_id = np.argsort(often["id"].to_numpy())
-        often = spark.sparkContext.broadcast((often["id"].to_numpy()[by_id].astype(np.uint64), rank[by_id]))
-        joined = texts.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"))
-        lists = _postings(joined, n, percent, often).repartition(parts * 2, "gram").sortWithinPartitions("gram")
-        found = materialise(_list_pairs(lists, percent, hot), "candidates")
-        pairs = found.where("b IS NOT NULL").select("a", "b", "na", "nb")
-        pairs = pairs.unionByName(_tiles(found.where("b IS NULL"), percent, hot)).distinct()
-        more = verified(materialise(pairs, "pairs"), texts, n, percent)
-        joined = comps.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        edges = joined.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        # documents of one class are linked to its first
-        same = known.select("digest", F.col("doc_id").alias("u")).join(classes.select("digest", F.col("doc_id").alias("v")), "digest").where("u <> v").select("u", "v")
-        comps = materialise(connected_components(edges.unionByName(same)), "comps")
+        profiles = materialise(_profiles(texts, n), "profiles")
+        # equal sets are one class, named by the smallest row of it
+        known = profiles.where("n > 0 AND doc_id IS NOT NULL")
+        classes = materialise(known.groupBy("digest").agg(F.min("rid").alias("cid"), F.first("n").alias("n")).withColumn("block", block("cid")), "classes")
+        total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        levels = materialise(_levels(_requests(texts, classes, n, max(parts, -(-total // 8_000_000)))), "levels")
+        segments = materialise(_segments(texts, classes, levels, n, percent), "segments")
+        discard(levels)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return profiles.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    edges = _links(segments, percent, hot)
+    discard(segments)
+    member = materialise(known.select("doc_id", "digest").join(classes.select("digest", "cid"), "digest").select("doc_id", "cid").distinct(), "members")
+    several = member.groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("v")).where("u <> v").select("doc_id", "u")
+    same = member.join(several, "doc_id").where("u <> cid").select("u", F.col("cid").alias("v"))
+    comps = materialise(connected_components(edges.unionByName(same)), "comps")
+    discard(edges)
+    found = member.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").select("doc_id", F.coalesce("component", "cid").alias("comp")).distinct()
+    low = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    result = materialise(found.join(low, "comp").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "components")
+    for x in (member, comps, classes):
+        discard(x)
+    return profiles.join(result, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

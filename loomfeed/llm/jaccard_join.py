@@ -28,7 +28,9 @@ from .common import connected_components, discard, materialise, partitions
 #: Document frequencies at which the second and later fragments of the order begin.
 PIVOTS = (3, 8, 64)
 _KEY = np.uint64(16)  # the top 48 bits of a hash name an n-gram where frequencies are counted; those of two that share them add up
-_SEGMENT = "cid long, n int, frag int, first int, grams array<long>, s0 long, s1 long, sketch binary"
+_SEGMENT = "cid long, n int, frag int, first int, grams array<long>, shared double, s0 long, s1 long, sketch binary"
+#: n-grams before a posting that it carries: two sets that have one of them in common meet in an earlier list.
+BEFORE = 4
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -149,7 +151,8 @@ def _segments(texts: DataFrame, classes: DataFrame, levels: DataFrame, n: int, p
 
     One row per set and fragment: the n-grams in order and the place of the first. Sets
     whose prefix holds only n-grams of their own are left out. The first row of a set
-    carries its sketch. s0, s1: 128 bins of the whole set, odd or even.
+    carries its sketch. shared: the part of the prefix that other sets hold. s0, s1: 128 bins
+    of the whole set, odd or even.
     """
     pivots = frequency_level(np.array(PIVOTS))
 
@@ -168,19 +171,19 @@ def _segments(texts: DataFrame, classes: DataFrame, levels: DataFrame, n: int, p
         order = np.lexsort((values, level, text))
         g, lv = values[order], level[order]
         pos = np.arange(len(g)) - begin[text]
-        live = np.zeros(len(size), bool)
-        live[text[(lv > 0) & (pos < prefix_size(size, percent)[text])]] = True
+        live = np.bincount(text[(lv > 0) & (pos < prefix_size(size, percent)[text])], minlength=len(size))
+        shared = live / np.maximum(prefix_size(size, percent), 1)
         for i in np.flatnonzero(live).tolist():
             sketch[i] = _sketch(values[begin[i] : begin[i] + size[i]])
-        keep = (lv > 0) & live[text]
+        keep = (lv > 0) & (live[text] > 0)
         g, tx, pos, frag = g[keep], text[keep], pos[keep], np.searchsorted(pivots, lv[keep], "right")
         new = np.flatnonzero(np.append(True, (tx[1:] != tx[:-1]) | (frag[1:] != frag[:-1]))) if len(g) else np.zeros(0, np.int64)
         grams = pa.ListArray.from_arrays(pa.array(np.append(new, len(g)).astype(np.int32)), pa.array(g.view(np.int64)))
         of = tx[new]
         first = np.append(True, of[1:] != of[:-1]) if len(of) else np.zeros(0, bool)
         marks = [sketch[i] if f else None for i, f in zip(of.tolist(), first.tolist(), strict=True)]
-        cols = [rid[of], size[of].astype(np.int32), frag[new].astype(np.int32), pos[new].astype(np.int32), grams, bins[of, 0], bins[of, 1], pa.array(marks, pa.binary())]
-        return pa.table(dict(zip(("cid", "n", "frag", "first", "grams", "s0", "s1", "sketch"), map(pa.array, cols), strict=True)))
+        cols = [rid[of], size[of].astype(np.int32), frag[new].astype(np.int32), pos[new].astype(np.int32), grams, shared[of], bins[of, 0], bins[of, 1], pa.array(marks, pa.binary())]
+        return pa.table(dict(zip(("cid", "n", "frag", "first", "grams", "shared", "s0", "s1", "sketch"), map(pa.array, cols), strict=True)))
 
     info = classes.select("block", "cid", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("levels"))
     info = info.unionByName(levels.select("block", F.lit(None).cast("long").alias("cid"), "part", "size", "levels"))
@@ -188,16 +191,22 @@ def _segments(texts: DataFrame, classes: DataFrame, levels: DataFrame, n: int, p
 
 
 def _postings(segments: DataFrame, percent: int) -> DataFrame:
-    """(gram, cid, n, pos, s0, s1) of the n-grams in the prefixes that other sets hold."""
+    """(gram, cid, n, pos, shared, s0, s1, b0 ...) of the n-grams in the prefixes that other sets hold; b: the ones before in the fragment, or 0."""
     s = segments.withColumn("left", F.expr(f"n - (({percent}L * n + 99) div 100) + 1 - first")).where("left > 0")
-    s = s.select("cid", "n", "first", "s0", "s1", F.posexplode(F.slice("grams", F.lit(1), F.col("left").cast("int"))).alias("i", "gram"))
-    return s.select("gram", "cid", "n", (F.col("first") + F.col("i")).alias("pos"), "s0", "s1")
+    s = s.withColumn("grams", F.slice("grams", F.lit(1), F.col("left").cast("int")))
+    s = s.select("cid", "n", "first", "shared", "s0", "s1", "grams", F.posexplode("grams").alias("i", "gram"))
+    before = [F.coalesce(F.get("grams", F.col("i") - (k + 1)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BEFORE)]
+    return s.select("gram", "cid", "n", (F.col("first") + F.col("i")).alias("pos"), "shared", "s0", "s1", *before)
 
 
-def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, s0: np.ndarray, s1: np.ndarray, percent: int, half: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Pairs of one posting list that may link: different components; sizes, positions and bins that allow enough overlap."""
-    order = np.argsort(n, kind="stable")
-    doc, comp, n, pos, s0, s1 = doc[order], comp[order], n[order].astype(np.int64), pos[order].astype(np.int64), s0[order], s1[order]
+_COLUMNS = ["cid", "comp", "n", "pos", "s0", "s1", *[f"b{k}" for k in range(BEFORE)]]
+
+
+def _group_pairs(x: np.ndarray, percent: int, half: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Pairs of one posting list that may link: of different components, not met in a list before; sizes, positions and bins allow enough overlap. Rows of x: _COLUMNS."""
+    order = np.argsort(x[2], kind="stable")
+    x = x[:, order]
+    (doc, comp, n, pos, s0, s1), before = x[:6], x[6:]
     half = half[order] if half is not None else None
     end = np.searchsorted(n, 100 * n // percent, "right")
     out = [[], [], [], []]
@@ -210,24 +219,26 @@ def _group_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarr
         if half is not None:
             ok &= half[j] != half[i]
         k = np.flatnonzero(ok) + i + 1
+        for g in before[:, i]:
+            if g and len(k):
+                k = k[(before[:, k] != g).all(axis=0)]
         if len(k):
-            for x, y in zip(out, (np.minimum(doc[i], doc[k]), np.maximum(doc[i], doc[k]), np.where(doc[i] < doc[k], n[i], n[k]), np.where(doc[i] < doc[k], n[k], n[i])), strict=True):
-                x.append(y)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-
-
-_PAIRS = "a long, b long, na long, nb long, gram long, comp long, pos int, s0 long, s1 long"
+            for y, z in zip(out, (np.minimum(doc[i], doc[k]), np.maximum(doc[i], doc[k]), np.where(doc[i] < doc[k], n[i], n[k]), np.where(doc[i] < doc[k], n[k], n[i])), strict=True):
+                y.append(z)
+    return tuple(np.concatenate(y) if y else np.zeros(0, np.int64) for y in out)
 
 
 def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
     """Postings sorted by gram -> candidate pairs; lists of more than `hot` rows come out as rows (b is null)."""
+    names = ["a", "b", "na", "nb", "gram", *_COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, spilling = None, None
 
-        def rows(x: np.ndarray) -> pa.RecordBatch:
-            k = x.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array(x[1]), pa.nulls(k, pa.int64()), pa.array(x[3]), pa.nulls(k, pa.int64()), pa.array(x[0]), pa.array(x[2]), pa.array(x[4].astype(np.int32)), pa.array(x[5]), pa.array(x[6])], names=["a", "b", "na", "nb", "gram", "comp", "pos", "s0", "s1"])
+        def batch(head: list, tail: list) -> pa.RecordBatch:
+            k = max(map(len, (head or tail)))
+            fill = [pa.nulls(k, pa.int64())]
+            return pa.RecordBatch.from_arrays([*map(pa.array, head or fill * 4), *map(pa.array, tail or fill * (1 + len(_COLUMNS)))], names=names)
 
         def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not x.shape[1]:
@@ -235,23 +246,18 @@ def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
             at = np.flatnonzero(np.append(True, x[0][1:] != x[0][:-1]))
             size = np.diff(np.append(at, x.shape[1]))
             live = np.minimum.reduceat(x[2], at) != np.maximum.reduceat(x[2], at)
-            out = [[], [], [], []]
+            out = []
             for s, k in zip(at[live].tolist(), size[live].tolist(), strict=True):
                 if k > hot:
-                    yield rows(x[:, s : s + k])
-                    continue
-                got = _group_pairs(*x[1:, s : s + k], percent)
-                if len(got[0]):
-                    for y, z in zip(out, got, strict=True):
-                        y.append(z)
-            if out[0]:
-                a, b, na, nb = map(np.concatenate, out)
-                _, one = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) < 200_000 else (None, slice(None))
-                k = len(a[one])
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(na[one]), pa.array(nb[one]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["a", "b", "na", "nb", "gram", "comp", "pos", "s0", "s1"])
+                    yield batch([], list(x[:, s : s + k]))
+                else:
+                    out.append(_group_pairs(x[1:, s : s + k], percent))
+            if out and sum(len(y[0]) for y in out):
+                both = np.unique(np.concatenate([np.stack(y) for y in out], axis=1), axis=1)
+                yield batch(list(both), [])
 
         for b in batches:
-            x = np.stack([b.column(k).to_numpy().astype(np.int64) for k in ("gram", "doc_id", "comp", "n", "pos", "s0", "s1")])
+            x = np.stack([b.column(k).to_numpy().astype(np.int64) for k in ("gram", *_COLUMNS)])
             x = x if held is None else np.concatenate([held, x], axis=1)
             if not x.shape[1]:
                 continue
@@ -260,31 +266,31 @@ def _list_pairs(postings: DataFrame, percent: int, hot: int) -> DataFrame:
             if spilling is not None and cut:
                 k = int(np.searchsorted(x[0], spilling, "right"))
                 if k:
-                    yield rows(x[:, :k])
+                    yield batch([], list(x[:, :k]))
                 x, cut, spilling = x[:, k:], cut - k, None
             yield from pairs(x[:, :cut])
             held = x[:, cut:]
             if held.shape[1] > hot or spilling == last:
-                yield rows(held)
+                yield batch([], list(held))
                 held, spilling = held[:, :0], last
         if held is not None and held.shape[1]:
             if spilling is not None and held[0, 0] == spilling:
-                yield rows(held)
+                yield batch([], list(held))
             else:
                 yield from pairs(held)
 
-    return postings.mapInArrow(run, _PAIRS)
+    return postings.mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def _tiles(rows: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of long posting lists: the list is dealt into blocks, each two of which meet in one task."""
-    sizes = materialise(rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "tiles")
-    r = rows.join(sizes, "gram").select("gram", "a", "comp", "na", "pos", "s0", "s1", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("i"))
-    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "a", "comp", "na", "pos", "s0", "s1")
+    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    r = rows.join(sizes, "gram").select("gram", *_COLUMNS, "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"))
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", *_COLUMNS)
 
     def run(key, t):
-        cols = [t.column(k).to_numpy() for k in ("a", "comp", "na", "pos", "s0", "s1")]
-        a, b, na, nb = _group_pairs(*cols, percent, half=None if key[1].as_py() == key[2].as_py() else t.column("i").to_numpy())
+        x = np.stack([t.column(k).to_numpy() for k in _COLUMNS])
+        a, b, na, nb = _group_pairs(x, percent, half=None if key[1].as_py() == key[2].as_py() else t.column("i").to_numpy())
         return pa.table({"a": a, "b": b, "na": na, "nb": nb})
 
     return r.groupBy("gram", "x", "y").applyInArrow(run, "a long, b long, na long, nb long")
@@ -329,11 +335,16 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _nearest_leaders(postings: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each set one pair at most: with the leader, drawn anew each turn, of the lists that it shares the most of."""
-    lead = postings.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "pos", "s0", "s1", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram", "l")
+def _leaders(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each set one pair at most: with the leader of the lists that it shares the most of.
+
+    At first a list's leader is the set that shares most of its prefix, which in a group of
+    near copies is the one they come from; in later turns one drawn by hash.
+    """
+    rank = (-F.col("shared") if not turn else F.lit(0.0), F.xxhash64("cid", F.lit(turn)))
+    lead = lists.groupBy("gram").agg(F.min(F.struct(rank[0].alias("r"), rank[1].alias("h"), "cid", "n", "pos", "s0", "s1", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram", "l")
     least = f"(({percent}L * (n + l.n) + {99 + percent}) div {100 + percent})"
-    near = postings.join(lead, "gram").where("comp <> l.comp").where(f"100L * least(n, l.n) >= {percent}L * greatest(n, l.n)")
+    near = lists.join(lead, "gram").where("comp <> l.comp").where(f"100L * least(n, l.n) >= {percent}L * greatest(n, l.n)")
     near = near.where(f"least(pos, l.pos) + least(n - pos, l.n - l.pos) >= {least} AND bit_count(s0 ^ l.s0) + bit_count(s1 ^ l.s1) <= n + l.n - 2 * {least}")
     near = near.groupBy("cid", "n", F.col("l.cid").alias("x"), F.col("l.n").alias("nx")).agg(F.count("*").alias("c"))
     near = near.groupBy("cid", "n").agg(F.max_by(F.struct("x", "nx"), F.struct("c", F.xxhash64("x"))).alias("l"))
@@ -342,38 +353,31 @@ def _nearest_leaders(postings: DataFrame, percent: int, turn: int) -> DataFrame:
     return near.select(side("cid", "l.x").alias("a"), side("l.x", "cid").alias("b"), side("n", "l.nx").alias("na"), side("l.nx", "n").alias("nb")).distinct()
 
 
-def _links(segments: DataFrame, percent: int, hot: int, turns: int = 8) -> DataFrame:
+def _links(segments: DataFrame, percent: int, hot: int, turns: int = 4) -> DataFrame:
     """(u, v) that join the same sets as all links do."""
     postings = materialise(_postings(segments, percent), "postings")
-    size, links, comps = postings.count(), [], None
-
-    def with_comps() -> DataFrame:
-        return postings.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component") if comps is not None else postings.withColumn("comp", F.col("cid"))
-
+    size, links, lists, comps = postings.count(), [], postings.withColumn("comp", F.col("cid")), None
     for turn in range(turns):
-        # pairs of different components that share a list, one for each list that they share
-        each = with_comps().groupBy("gram", "comp").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.expr("double(count) * count")).alias("q"))
-        if (each.agg(F.sum(F.expr("(double(s) * s - q) / 2"))).first()[0] or 0) <= 4 * size:
-            break
-        pairs = materialise(_nearest_leaders(with_comps(), percent, turn), "pairs")
+        pairs = materialise(_leaders(lists, percent, turn), "pairs")
         found = verified(pairs, segments, percent)
         discard(pairs)
         links.append(found)
-        if found.isEmpty():
+        for x in (lists, *([comps] if comps is not None else [])):
+            discard(x)
+        comps = materialise(connected_components(_union([x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links])), "comps")
+        lists = materialise(postings.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component"), "lists")
+        # pairs of different components in all lists: another turn pays if they are many
+        each = lists.groupBy("gram", "comp").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.expr("double(count) * count")).alias("q"))
+        if (each.agg(F.sum(F.expr("(double(s) * s - q) / 2"))).first()[0] or 0) <= 4 * size or found.isEmpty():
             break
-        if comps is not None:
-            discard(comps)
-        edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links]
-        comps = materialise(connected_components(_union(edges)), "comps")
-    lists = with_comps()
     live = lists.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    lists = lists.join(live, "gram", "left_semi").select("gram", F.col("cid").alias("doc_id"), "comp", "n", "pos", "s0", "s1")
-    found = materialise(_list_pairs(lists.repartition(partitions(postings.sparkSession), "gram").sortWithinPartitions("gram"), percent, hot), "candidates")
+    rest = lists.join(live, "gram", "left_semi").select("gram", *_COLUMNS)
+    found = materialise(_list_pairs(rest.repartition(partitions(postings.sparkSession), "gram").sortWithinPartitions("gram"), percent, hot), "candidates")
     pairs = found.where("b IS NOT NULL").select("a", "b", "na", "nb")
     pairs = materialise(pairs.unionByName(_tiles(found.where("b IS NULL"), percent, hot)).distinct(), "pairs")
     links.append(verified(pairs, segments, percent))
     out = materialise(_union([x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links]), "edges")
-    for x in (found, pairs, postings, *links, *([comps] if comps is not None else [])):
+    for x in (found, pairs, postings, lists, comps, *links):
         discard(x)
     return out
 

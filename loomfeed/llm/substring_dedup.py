@@ -11,6 +11,7 @@ Buckets that hold very many super-k-mers are dealt out by window digest instead.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,35 +49,34 @@ def super_kmers(h: np.ndarray, bounds: np.ndarray, width: int, inner: int) -> tu
 def _spans(docs: DataFrame, width: int, inner: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes = b.column(0), b.column(1)
-            for lo, _, data, off in wordnp.slices(b.column(2)):
+            for lo, _, data, off in wordnp.slices(b.column(1)):
                 starts, ends, bounds = wordnp.words(data, off)
                 text, mini, at, n = super_kmers(wordnp.hashes(data, starts, ends), bounds, width, inner)
                 take = pa.array(text + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(mini), ids.take(take), hashes.take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mini", "doc_id", "th", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(mini), b.column(0).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mini", "rid", "start", "n"])
 
-    return docs.mapInArrow(run, "mini long, doc_id long, th long, start int, n int")
+    return docs.select("rid", "text").mapInArrow(run, "mini long, rid long, start int, n int")
 
 
 def _packed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, th, text, spans) -> the packed super-k-mers."""
+    """(rid, doc_id, text, spans) -> the packed super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 rows = b.slice(i, 64).to_pylist()
-                out: dict[str, list] = {k: [] for k in ("mini", "doc_id", "th", "start", "packed")}
+                out: dict[str, list] = {k: [] for k in ("mini", "doc_id", "rid", "start", "packed")}
                 for r in rows:
                     w = r["text"].encode().split()
                     for s in r["spans"]:
                         out["mini"].append(s["mini"])
                         out["doc_id"].append(r["doc_id"])
-                        out["th"].append(r["th"])
+                        out["rid"].append(r["rid"])
                         out["start"].append(s["start"])
                         out["packed"].append(b" ".join(w[s["start"] : s["start"] + s["n"] + width - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(out["mini"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["th"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["packed"], pa.binary())], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(out["mini"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["rid"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["packed"], pa.binary())], names=list(out))
 
-    return docs.select("doc_id", "th", "text", "spans").mapInArrow(run, "mini long, doc_id long, th long, start int, packed binary")
+    return docs.select("doc_id", "rid", "text", "spans").mapInArrow(run, "mini long, doc_id long, rid long, start int, packed binary")
 
 
 def _windows(packed: bytes, width: int) -> list[bytes]:
@@ -87,8 +87,8 @@ def _windows(packed: bytes, width: int) -> list[bytes]:
     return [packed[at[i] : ends[i + width - 1]] for i in range(len(ends) - width + 1)]
 
 
-def _repeats(rows: list[tuple[int, int, int, bytes]], width: int) -> list[tuple[int, int, int, int]]:
-    """Of one bucket's (doc_id, th, start, packed): (doc_id, th, start, n) of the windows that a smaller doc_id has."""
+def _repeats(rows: list[tuple[int, int, int, bytes]], width: int) -> list[tuple[int, int, int]]:
+    """Of one bucket's (doc_id, rid, start, packed): (rid, start, n) of the windows that a smaller doc_id has."""
     if len({r[0] for r in rows}) < 2:
         return []
     entries = sorted((w, rows[k][0], k, i) for k in range(len(rows)) for i, w in enumerate(_windows(rows[k][3], width)))
@@ -101,12 +101,12 @@ def _repeats(rows: list[tuple[int, int, int, bytes]], width: int) -> list[tuple[
             found.setdefault(k, []).append(i)
     out = []
     for k, at in found.items():
-        doc, th, start, _ = rows[k]
+        _, rid, start, _ = rows[k]
         at.sort()
         lo = hi = at[0]
         for i in at[1:] + [None]:
             if i is None or i != hi + 1:
-                out.append((doc, th, start + lo, hi - lo + 1))
+                out.append((rid, start + lo, hi - lo + 1))
                 lo = i
             hi = i
     return out
@@ -117,12 +117,12 @@ def _bucket_pass(packed: DataFrame, width: int) -> DataFrame:
         now, rows, out = None, [], []
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "th", "start", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["rid", "start", "n"])
 
         for b in batches:
-            for mini, *row in zip(*(b.column(k).to_pylist() for k in ("mini", "doc_id", "th", "start", "packed")), strict=True):
+            for mini, *row in zip(*(b.column(k).to_pylist() for k in ("mini", "doc_id", "rid", "start", "packed")), strict=True):
                 if mini != now:
                     out += _repeats(rows, width)
                     now, rows = mini, []
@@ -132,7 +132,7 @@ def _bucket_pass(packed: DataFrame, width: int) -> DataFrame:
         out += _repeats(rows, width)
         yield batch()
 
-    return packed.mapInArrow(run, "doc_id long, th long, start int, n int")
+    return packed.mapInArrow(run, "rid long, start int, n int")
 
 
 def _window_digests(packed: DataFrame, width: int) -> DataFrame:
@@ -147,41 +147,44 @@ def _window_digests(packed: DataFrame, width: int) -> DataFrame:
                     take += [k] * len(d)
                     start += range(s, s + len(d))
                 t = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), part.column("doc_id").take(t), part.column("th").take(t), pa.array(start, pa.int32())], names=["digest", "doc_id", "th", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), part.column("doc_id").take(t), part.column("rid").take(t), pa.array(start, pa.int32())], names=["digest", "doc_id", "rid", "start"])
 
-    return packed.select("doc_id", "th", "start", "packed").mapInArrow(run, "digest binary, doc_id long, th long, start int")
+    return packed.select("doc_id", "rid", "start", "packed").mapInArrow(run, "digest binary, doc_id long, rid long, start int")
 
 
-def repeated_windows(docs: DataFrame, width: int = 50, inner: int = 24, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, marks) for the texts that hold windows which a document with a smaller id has too.
+def repeated_windows(texts: DataFrame, width: int = 50, inner: int = 24, hot: int = 2000) -> DataFrame:
+    """(rid, doc_id, text) -> (rid, marks) for the rows that hold windows which a row with a smaller doc_id has too.
 
-    th: xxhash64 of the text; marks: array of (start, n), n consecutive windows from word
-    `start`; a copy of a whole text with a smaller id has the mark (0, all). Rows with a
-    null id take no part. Repeated rows share one result.
+    texts: rid is unique, so joins on it move no text where texts is bucketed by it. marks:
+    array of (start, n), n consecutive windows from word `start`; a copy of a whole text
+    with a smaller id has the mark (0, all). Rows with a null id take no part. Copies are
+    recognised by a 128-bit digest; repeated rows of one id share one result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = materialise(_spans(rows, width, inner), "spans")
+    texts = texts.where("doc_id IS NOT NULL")
+    keys = materialise(texts.select("rid", "doc_id", F.unhex(F.md5("text")).alias("digest")), "keys")
+    # of each text the row with the smallest id speaks for all
+    firsts = materialise(keys.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("f")).select("digest", F.col("f.doc_id").alias("first"), F.col("f.rid").alias("own")), "firsts")
+    spans = materialise(_spans(texts.join(firsts.select(F.col("own").alias("rid")), "rid", "left_semi"), width, inner), "spans")
     # only minimisers of at least two different texts can lead to an earlier document's window
-    shared = materialise(spans.groupBy("mini").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("mini"), "shared")
-    firsts = materialise(rows.groupBy("th").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    live = spans.join(shared, "mini").join(firsts, ["doc_id", "th"], "left_semi")
-    live = live.groupBy("doc_id", "th").agg(F.collect_list(F.struct("mini", "start", "n")).alias("spans"))
-    packed = materialise(_packed(rows.join(live, ["doc_id", "th"]), width).dropDuplicates(["mini", "doc_id", "th", "start"]), "packed")
+    shared = spans.groupBy("mini").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("mini")
+    live = spans.join(shared, "mini").groupBy("rid").agg(F.collect_list(F.struct("mini", "start", "n")).alias("spans"))
+    packed = materialise(_packed(texts.join(live, "rid"), width), "packed")
     discard(spans)
-    discard(shared)
     big = materialise(packed.groupBy("mini").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("mini", F.lit(True).alias("big")), "hot")
     told = packed.join(big, "mini", "left")
-    cold = told.where("big IS NULL").drop("big").repartition(partitions(docs.sparkSession) * 2, "mini").sortWithinPartitions("mini")
+    cold = told.where("big IS NULL").drop("big").repartition(partitions(texts.sparkSession) * 2, "mini").sortWithinPartitions("mini")
     marks = _bucket_pass(cold, width)
     single = materialise(_window_digests(told.where("big"), width), "windows")
-    first = materialise(single.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "window-firsts")
-    marks = marks.unionByName(single.join(first, "digest").where("first < doc_id").select("doc_id", "th", "start", F.lit(1).alias("n")))
-    copies = rows.select("doc_id", "th").join(firsts.withColumnRenamed("doc_id", "first"), "th").where("doc_id > first").select("doc_id", "th", F.lit(0).alias("start"), F.lit(2**30).alias("n"))
-    marks = marks.unionByName(copies).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
-    marks = materialise(marks, "marks")
-    for x in (packed, big, single, first, firsts):
+    first = single.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    marks = marks.unionByName(single.join(first, "digest").where("first < doc_id").select("rid", "start", F.lit(1).alias("n")))
+    marks = materialise(marks.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("marks")), "marks")
+    rest = keys.join(firsts, "digest").where("rid <> own")
+    copies = rest.where("doc_id > first").select("rid", F.array(F.struct(F.lit(0).alias("start"), F.lit(2**30).alias("n"))).alias("marks"))
+    twins = rest.where("doc_id = first").select(F.col("rid").alias("twin"), F.col("own").alias("rid")).join(marks, "rid").select(F.col("twin").alias("rid"), "marks")
+    out = materialise(marks.unionByName(copies).unionByName(twins), "marks")
+    for x in (packed, big, single, firsts, keys, marks):
         discard(x)
-    return marks
+    return out
 
 
 def _cut(width: int):
@@ -212,8 +215,17 @@ def remove_repeats(docs: DataFrame, width: int = 50, inner: int = 24, hot: int =
     A null text has no words; a text of fewer than `width` words keeps all; rows with a
     null id keep all and remove nothing elsewhere; repeated rows of one id keep alike, as
     only a smaller id removes; an empty table gives no rows. Windows are judged on the input.
+    out_col must not be a column of docs. The rows are kept in a bucketed table of the
+    warehouse, which the result reads.
     """
-    marks = repeated_windows(docs, width, inner, hot, id_col, text_col)
-    key = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("th"))
-    out = key.join(marks, ["doc_id", "th"], "left").select("row.*", _cut(width)(F.col(f"row.`{text_col}`"), F.col("marks")).alias(out_col))
+    spark = docs.sparkSession
+    name = f"loomfeed_rows_{uuid.uuid4().hex}"
+    parts = partitions(spark)
+    # rows are dealt out by a unique number once; what follows moves numbers and packed strings only
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
+    rows.repartition(parts, "rid").write.bucketBy(parts, "rid").option("compression", "zstd").saveAsTable(name)
+    rows = spark.table(name)
+    texts = rows.select("rid", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+    marks = repeated_windows(texts, width, inner, hot)
+    out = rows.join(marks, "rid", "left").select("row.*", _cut(width)(F.col(f"row.`{text_col}`"), F.col("marks")).alias(out_col))
     return out

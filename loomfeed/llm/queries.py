@@ -43,10 +43,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import classify
+    from .quality import decisions
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "quality.n_bytes", "quality.perplexity", "quality.threshold", "quality.kept")
+    return decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

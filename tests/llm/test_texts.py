@@ -95,29 +95,96 @@ def test_license_scan(spark, docs, none):
     assert license_scan.scan(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    data = np.frombuffer(b"abracadabra abracadabra banana" * 3, np.uint8)
-    keys, _ = quality.byte_grams(data, np.array([0, 40, len(data)]))
-    k, c = np.unique(keys, return_counts=True)
-    m = quality.Model(k, c)
-    for context in (b"abra", b"nana", b"zzzz", b"\n\n\n\n", b"zbra"):
-        base = np.uint64(int.from_bytes(context, "big") << 8)
-        assert abs(np.exp(m.log_p(base | np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-4
-
-
-def test_quality_keeps_clean_and_rejects_junk(spark):
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over bytes, one look-up at a time."""
+
+    def __init__(self, texts, order=5):
+        self.c = {order: collections.Counter()}
+        for t in texts:
+            b = b"\n" * (order - 1) + t.encode()
+            for i in range(order - 1, len(b)):
+                self.c[order][b[i - order + 1 : i + 1]] += 1
+        for k in range(order - 1, 0, -1):
+            self.c[k] = collections.Counter(g[1:] for g in self.c[k + 1])
+        self.order, self.d, self.sums = order, {}, {}
+        for k, c in self.c.items():
+            n = collections.Counter(c.values())
+            plain = [0, 0.5, 0.75, 0.9]
+            if n[1] and n[2] and n[3]:
+                y = n[1] / (n[1] + 2 * n[2])
+                plain = [0] + [min(max(m - (m + 1) * y * n[m + 1] / n[m], 0.1), m - 0.05) for m in (1, 2, 3)]
+            self.d[k] = plain
+            for g, x in c.items():
+                total = self.sums.setdefault((k, g[:-1]), [0, 0])
+                total[0] += x
+                total[1] += plain[min(x, 3)]
+
+    def p(self, g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        total = self.sums.get((k, g[:-1]))
+        if not total:
+            return self.p(g[1:])
+        x = self.c[k][g]
+        return (x - self.d[k][min(x, 3)]) / total[0] + total[1] / total[0] * self.p(g[1:])
+
+    def nats(self, text):
+        b = b"\n" * (self.order - 1) + text.encode()
+        return -sum(math.log(self.p(b[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(b)))
+
+
+def test_quality_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     clean = lambda n: " ".join(rng.choice(["the", "of", "reading", "water", "goes", "under", "bridge", "and"], n))
-    rows = [(i, clean(80), "en") for i in range(120)] + [(200 + i, "".join(map(chr, rng.integers(33, 126, 400))), "en") for i in range(10)] + [(300, None, "en"), (301, "", None), (302, clean(50), None), (303, clean(3), "xx"), (304, clean(3000), "en"), (304, clean(3000), "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("quality_note", F.lit(1))
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(200, 0, 0), (201, 1, 1), (None, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
-    got = quality.classify(docs, labels, max_docs=60).collect()
-    assert len(got) == len(rows)
+    autre = lambda n: " ".join(rng.choice(["le", "pont", "dans", "été", "lire", "eau"], n))
+    rows = [(i, clean(60), "en") for i in range(60)] + [(100 + i, autre(60), "fr") for i in range(30)]
+    rows += [(200 + i, "".join(map(chr, rng.integers(33, 126, 400))), ("en", "fr", None)[i % 3]) for i in range(9)]
+    rows += [(300, None, "en"), (301, "", None), (302, clean(50), None), (303, clean(3), "xx"), (304, clean(3000), "en"), (304, clean(3000), "en"), (None, clean(20), "en"), (305, rows[3][1], "en"), (306, "x" * 20000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"quality": F.lit(1), "block": F.lit("b"), "row": F.lit(2.5), "kept": F.lit(None).cast("string")})
+    good = [i for i in (*range(50), *range(100, 125))]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(200, 0, 0), (201, 1, 1), (None, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels, block_bytes=9000, out_col="made").collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {*docs.columns, "made"} and all(r.row == 2.5 and r.block == "b" for r in got)
+    text = {i: t for i, t, _ in rows}
+    models = {"en": PlainKneserNey(text[i] for i in good if i < 100), "fr": PlainKneserNey(text[i] for i in good if i >= 100), "": PlainKneserNey(text[i] for i in good)}
+    limit = {}
+    for lang, m in models.items():
+        own = [(m.nats(text[i]), len(text[i].encode())) for i in good if not lang or (i < 100) == (lang == "en")]
+        mean = sum(x for x, _ in own) / sum(n for _, n in own)
+        x = sorted((x + 200 * mean) / (n + 200) for x, n in own)
+        limit[lang] = mean, x[math.ceil(0.99 * len(x)) - 1] + 0.03
     for r in got:
-        assert r.quality.kept == (not 200 <= r.doc_id < 300), r
-        assert (r.quality.perplexity is None) == (not r.text)
-    assert quality.classify(docs.limit(0), labels).count() == 0
-    assert all(r.quality.kept for r in quality.classify(docs, labels.limit(0)).collect())
+        lang = r.lang if r.lang in models else ""
+        mean, most = limit[lang]
+        assert abs(r.made.threshold - math.exp(most)) < 1e-4
+        if not r.text:
+            assert r.made.perplexity is None and r.made.kept
+            continue
+        n, nats = len(r.text.encode()), models[lang].nats(r.text)
+        assert r.made.n_bytes == n and abs(r.made.perplexity / math.exp(nats / n) - 1) < 1e-4, r
+        x = (nats + 200 * mean) / (n + 200)
+        assert abs(x - most) < 1e-5 or r.made.kept == (x <= most), r
+    assert not any(r.made.kept for r in got if r.doc_id and 200 <= r.doc_id < 300) and sum(r.made.kept for r in got) >= 95
+    assert quality.classify(docs.limit(0), labels, out_col="made").count() == 0
+    assert all(r.made.kept for r in quality.classify(docs, labels.limit(0), out_col="made").collect())
+
+
+def test_quality_sample_is_bounded_and_probabilities_sum_to_one(spark):
+    counts = spark.createDataFrame([("a", int.from_bytes(bytes(b"\n\n\n\nabracadabra banana"[i : i + 5]), "big"), 1 + i % 3) for i in range(18)], "model string, gram long, c long")
+    rows = quality.kneser_ney(counts).collect()
+    p = {(r.k, r.gram): r.p for r in rows if r.p is not None}
+    w = {(r.k, r.gram): r.weight for r in rows if r.p is None}
+
+    def prob(k, g):
+        if not k:
+            return 1 / 256
+        mask = (1 << 8 * (k - 1)) - 1
+        return p[k, g] if (k, g) in p else w.get((k, g >> 8), 1.0) * prob(k - 1, g & mask)
+
+    for context in (b"abra", b"nana", b"zzzz", b"zbra"):
+        base = int.from_bytes(context, "big") << 8
+        assert abs(sum(prob(5, base | i) for i in range(256)) - 1) < 1e-9
 
 
 def test_attention_gradients_and_windows():

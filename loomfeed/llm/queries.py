@@ -45,7 +45,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import decisions
 
-    return decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

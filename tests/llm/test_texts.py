@@ -190,24 +190,25 @@ def test_quality_sample_is_bounded_and_probabilities_sum_to_one(spark):
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
     n = 30
-    model = Attention(n, rng.integers(0, CLASSES, n), np.full(n, 0.5))
+    model = Attention(n, rng.integers(-1, CLASSES, n), np.ones(CLASSES))
     ids = [rng.integers(0, n, k).astype(np.int32) for k in (1, NEW, 2 * NEW + 3)]
     w, real = windows(ids, 0, model.pad)
     assert w.shape[1] == CONTEXT + NEW and real.sum() == sum(map(len, ids))
     assert (w[:, CONTEXT:][real] == np.concatenate(ids)).all()
     # the batched windows equal one place at a time
     lp = model.log_p(w)
-    i, t = len(w) - 2, 5
+    i, t = next((i, t) for i, t in zip(*np.nonzero(real), strict=True) if i == len(w) - 2 and model.class_of[w[i, CONTEXT + t]] >= 0)
+    assert (lp[model.class_of[w[:, CONTEXT:]] < 0] == 0).all()
     x = model.E[w[i, :-1]] + model.P
     q = x[CONTEXT - 1 + t] @ model.Wq / np.sqrt(model.E.shape[1])
     s = np.array([q @ (x[k] @ model.Wk) if k <= CONTEXT - 1 + t and w[i, k] != model.pad else -np.inf for k in range(len(x))])
     a = np.exp(s - s.max())
     h = x[CONTEXT - 1 + t] + (a / a.sum()) @ (x @ model.Wv) @ model.Wo
     z = h @ model.Wc + model.b
-    want = z[model.class_of[w[i, CONTEXT + t]]] - np.log(np.exp(z).sum()) + model.log_share[w[i, CONTEXT + t]]
+    want = z[model.class_of[w[i, CONTEXT + t]]] - np.log(np.exp(z).sum())
     assert abs(lp[i, t] - want) < 1e-4
     grads = model._gradients(w)
-    loss = lambda: -(model.log_p(w)[real] - model.log_share[w[:, CONTEXT:][real]]).mean()
+    loss = lambda: -model.log_p(w)[model.class_of[w[:, CONTEXT:]] >= 0].mean()
     for name in ("Wq", "Wk", "Wv", "Wo", "Wc", "P"):
         p = getattr(model, name)
         at = (3, 2)
@@ -224,10 +225,20 @@ def test_attention_gradients_and_windows():
 
 
 def test_mixture_is_a_probability():
-    s = Scorer(None, 90, 10, 0.6)
-    att = np.log(np.array([0.1, 0.2]))
-    known, unknown = s.mixed(np.array([30.0, 0.0]), att)
-    assert math.isclose(10**known, 0.6 * 30 / 100 + 0.4 * 0.1) and math.isclose(10**unknown, 0.2 * (0.4 + 0.6 * 10 / 100))
+    # words a a a b c c of two classes, of which b occurred once
+    s = Scorer(None, 6, 3, 1, np.array([4.0, 2.0]), 0.6)
+    att = np.log(np.array([0.7 / 4, 0.7 / 4, 0.3 / 2, 1.0]))
+    a, b, c, unknown = 10 ** s.mixed(np.array([3.0, 1.0, 2.0, 0.0]), att)
+    assert math.isclose(unknown, 2 / 10) and math.isclose(a + b + c + unknown, 1) and math.isclose(a, 0.8 * (0.6 * 3 / 6 + 0.4 * 0.7 * 3 / 4))
+
+
+def test_score_of_held_out_texts_is_above_the_base(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    args = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    got = {r.doc_id: r for r in score(docs, *args, block_bytes=200_000).collect()}
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_scores(docs, none, corpus):
@@ -245,7 +256,7 @@ def test_scores(docs, none, corpus):
         w = [*words(texts[r.doc_id], True), None]
         base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(counts[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and -1e6 < r.score < 0
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and -1e6 < r.score < 0 and (r.n_tokens > 1 or r.n_known == 1)
     assert score(none, *args).count() == 0
 
 
@@ -257,24 +268,25 @@ def test_attention_learns_from_every_training_window(spark, docs, corpus):
     texts = {i: np.concatenate([np.frombuffer(sub[w], np.int32) for w in words(t, True)] + [np.frombuffer(sub.tail, np.int32)]) for i, t in corpus}
     top = np.array([sub.end, 17, 300])
     assert (_features(streams, top, sub.size) == sum(features([x], top, sub.size) for x in texts.values())).all()
-    model = Attention(sub.size, np.random.default_rng(1).integers(0, CLASSES, sub.size), np.full(sub.size, 0.5))
-    before = model.E.copy()
+    model = Attention(sub.size, np.where(sub.begins, np.random.default_rng(1).integers(0, CLASSES, sub.size), -1), np.ones(CLASSES))
+    before = model.Wc.copy()
     kept = [texts[i] for i in texts if i % 10]
     w, real = windows(kept, sub.end, model.pad)
+    real = model.class_of[w[:, CONTEXT:]] >= 0
     loss = -model.log_p(w)[real].mean()
     assert train_all(model, streams.where("kept"), sub.end) == len(w)  # the text of 6000 words too, to its end
-    assert set(np.flatnonzero((model.E != before).any(1))) == set(np.unique(w[:, :-1])) - {model.pad}
+    assert (model.Wc != before).any()
     assert -model.log_p(w)[real].mean() < loss
 
 
 def test_pass_uses_each_window_once():
     w, _ = windows([np.arange(NEW * 50, dtype=np.int32) % 30], 0, 30)
-    over = Pass(Attention(30, np.arange(30) % CLASSES, np.full(30, 0.5)), batch=16)
+    over = Pass(Attention(30, np.arange(30) % CLASSES, np.ones(CLASSES)), batch=16)
     over.add(w[:23])
     over.add(w[23:])
     assert over.windows == 48 and len(over.rest) == 2
     over.close()
-    assert over.windows == 50 and over.seen.sum() == (w[:, :-1] != 30).sum()
+    assert over.windows == 50 and over.steps == 4
 
 
 def test_attention_has_all_its_classes():

@@ -33,7 +33,8 @@ def output_text(s: Column) -> Column:
 
 def capped(s: Column, limit: int) -> Column:
     """At most limit characters; a cut text ends with an ellipsis."""
-    return F.when(F.length(s) > limit, F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit(ELLIPSIS))).otherwise(s)
+    head = F.regexp_replace(F.substring(s, 1, limit - 1), r"(?U)\s+$", "")
+    return F.when(F.length(s) > limit, F.concat(head, F.lit(ELLIPSIS))).otherwise(s)
 
 
 def markdown_escape(s: Column) -> Column:
@@ -73,24 +74,27 @@ def clean_text(limit: int | None = None, punctuation: bool = False):
 
 
 def normalize_content(s: str) -> str:
-    """NFC, one kind of line break, single spaces, at most one empty line."""
-    s = unicodedata.normalize("NFC", s).replace("\r\n", "\n").replace("\r", "\n")
-    s = re.sub(r"[\x00-\x09\x0B-\x1F\x7F-\x9F  ]+", " ", s)
+    """NFC, one kind of line break, single spaces of any white space or control, at most one empty line."""
+    s = re.sub("\r\n?|[\u2028\u2029]", "\n", unicodedata.normalize("NFC", s))
+    s = re.sub(r"(?:[^\S\n]|[\x00-\x09\x0B-\x1F\x7F-\x9F])+", " ", s)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", s)).strip()
 
 
+# Where a text may be cut.
+CUTS = ("\n\n", "\n", " ", "。", "！", "？", ". ", "! ", "? ")
+
+
 def truncate_one(s: str, limit: int) -> tuple[str, bool]:
-    """Cut at the last paragraph, sentence or word border of the second half, in this order of preference."""
+    """At most `limit` characters with an ellipsis: cut at the last border of any kind that lies in the second half; a sentence keeps its mark."""
+    if limit < 1:
+        raise ValueError("limit")
     if len(s) <= limit:
         return s, False
-    head = s[: max(limit - 1, 0)]
-    half = len(head) // 2
-    for marks in (("\n\n",), (". ", "! ", "? ", "。", "！", "？"), (" ", "\n")):
-        at = max(head.rfind(m) + len(m.rstrip()) for m in marks if head.rfind(m) >= half) if any(head.rfind(m) >= half for m in marks) else -1
-        if at > 0:
-            head = head[:at]
-            break
-    return head.rstrip() + ELLIPSIS, True
+    head = whole = s[: limit - 1]
+    at = max(head.rfind(m) for m in CUTS)
+    if at >= max(1, len(head) // 2):
+        head = head[: at + (head[at] in ".!?。！？")]
+    return (head.rstrip() or whole) + ELLIPSIS, True
 
 
 def truncate_content(limit: int):
@@ -124,10 +128,18 @@ def seems_untranslated(source: Column, output: Column, language: Column) -> Colu
 
 
 # Names of the supported languages.
-LANGUAGE_ALIASES = {"en": "en", "en-us": "en", "en-gb": "en", "english": "en", "zh": "zh-CN", "zh-cn": "zh-CN", "zh-hans": "zh-CN", "chinese": "zh-CN"}
+LANGUAGE_ALIASES = {"en": "en", "en-us": "en", "en-gb": "en", "english": "en", "zh": "zh-CN", "zh-cn": "zh-CN", "zh-hans": "zh-CN", "zh-hans-cn": "zh-CN", "chinese": "zh-CN", "simplified-chinese": "zh-CN"}
 
 
-def normalize_language(s: Column) -> Column:
-    """The language of an alias, or null."""
+def normalize_language(s: Column, strict: bool = True) -> Column:
+    """The language of an alias, English for null and blank; of other names null, or English if not strict."""
     aliases = F.create_map(*(F.lit(x) for kv in LANGUAGE_ALIASES.items() for x in kv))
-    return F.try_element_at(aliases, F.lower(F.replace(F.trim(s), F.lit("_"), F.lit("-"))))
+    known = F.try_element_at(aliases, F.lower(F.replace(F.trim(s), F.lit("_"), F.lit("-"))))
+    blank = F.coalesce(F.trim(s), F.lit("")) == ""
+    return F.when(blank, "en").otherwise(known if strict else F.coalesce(known, F.lit("en")))
+
+
+def resolve_language(option: Column, environment: Column, configured: Column) -> Column:
+    """The first given of option, environment and configuration, as a language; English if none is."""
+    given = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in (option, environment, configured)))
+    return normalize_language(given)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime, timedelta
+from email.utils import parsedate_to_datetime
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean_one
+
 ZONE = "America/Los_Angeles"
 
 
@@ -79,3 +84,39 @@ def parse_when(s: Column, now: Column) -> Column:
 
 def clamp(n: int, low: int = 1, high: int = 1000) -> int:
     return max(low, min(n, high))
+
+
+# Date forms with and without a year.
+DATED = ("%B %d, %Y", "%b %d, %Y", "%Y-%m-%d", "%Y/%m/%d")
+UNDATED = ("%B %d", "%b %d")
+
+
+def parse_date(s: str | None, now: datetime | None = None) -> str | None:
+    """UTC time to the second as ISO text, of mail dates, ISO and the forms above; without a year the latest not over 7 days ahead; null if none fits."""
+    s = clean_one(s) if s else None
+    if not s:
+        return None
+    now = now or datetime.now(UTC)
+
+    def undated(form: str) -> datetime:
+        got = datetime.strptime(f"{s} {now.year}", f"{form} %Y").replace(tzinfo=UTC)
+        return got.replace(year=now.year - 1) if got > now + timedelta(days=7) else got
+
+    readers = [parsedate_to_datetime, lambda x: datetime.fromisoformat(x.replace("Z", "+00:00")), *(lambda x, f=f: datetime.strptime(x, f) for f in DATED), *(lambda _, f=f: undated(f) for f in UNDATED)]
+    for read in readers:
+        try:
+            got = read(s)
+        except (TypeError, ValueError, OverflowError):
+            continue
+        got = got if got.tzinfo else got.replace(tzinfo=UTC)
+        return got.astimezone(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z")
+    return None
+
+
+def parse_dates(now: datetime | None = None):
+    """A column function of parse_date()."""
+
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([parse_date(x, now) for x in s.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")

@@ -14,7 +14,7 @@ from ..functions.values import canonical_json
 # Response codes after which the outcome is unknown, or another provider may be tried.
 AMBIGUOUS = (408, 409, 425)
 FALLBACK = (401, 402, 404, 429)
-FALLBACK_CODES = ("no_output", "finish_length", "finish_error", "finish_reason", "invalid_structured_output")
+FALLBACK_CODES = ("provider_overloaded", "provider_unavailable", "rate_limit_exceeded", "thinking_output", "thinking_tokens", "tool_calls", "no_output", "finish_length", "finish_error", "finish_reason", "invalid_structured_output")
 
 
 def failure_class(status: Column, code: Column) -> Column:

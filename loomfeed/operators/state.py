@@ -33,7 +33,8 @@ def merge_by_either_key(state: DataFrame, batch: DataFrame, within: str, key_a:
     row belongs to the stored row of the smallest id that has either key; of several
     batch rows for one stored row, or with one key, the last position wins. Rows of a
     source without any stored row are its baseline and count as seen; others are
-    inserted unseen. A row updates only if a field differs; seen survives.
+    inserted unseen. A row updates only if a field differs; seen survives. New rows get the
+    ids after the largest, so the result without `change` is the next state.
     """
     last = latest_by(latest_by(batch, [within, key_a], pos), [within, key_b], pos)
     match = either_key_match(last.withColumn("_p", F.col(pos)), state, "_p", within, key_a, key_b, "id")
@@ -48,8 +49,14 @@ def merge_by_either_key(state: DataFrame, batch: DataFrame, within: str, key_a:
     old = j.select("id", within, *[F.when(differs, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in data], "seen", F.when(differs, "updated").otherwise("kept").alias("change"))
     sources = state.select(within).distinct().withColumn("_known", F.lit(True))
     known = F.col("_known").isNotNull()
-    ins = new.join(sources, within, "left").select(F.lit(None).cast("long").alias("id"), within, *data, (~known).alias("seen"), F.when(known, "inserted").otherwise("baseline").alias("change"))
-    return old.unionByName(ins)
+    ins = new.join(sources, within, "left").select(within, *data, (~known).alias("seen"), F.when(known, "inserted").otherwise("baseline").alias("change"))
+    # numbers in many small windows, carried on by the counts of the groups before
+    ins = ins.withColumn("_g", F.pmod(F.xxhash64(within, key_a, key_b), F.lit(1024)))
+    before = ins.groupBy("_g").count().select("_g", (F.sum("count").over(Window.orderBy("_g")) - F.col("count")).alias("_before"))
+    top = state.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy(within, key_a, key_b))
+    ins = ins.withColumn("_n", nth).join(before, "_g").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n"))
+    return old.unionByName(ins.select(old.columns))
 
 
 def merge_counts(merged: DataFrame, within: str) -> DataFrame:

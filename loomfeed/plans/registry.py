@@ -311,9 +311,9 @@ def cjk_untranslated(spark, d):
     return table(spark, d, "documents").select("doc_id", X.seems_untranslated(F.lit("source"), t, F.lit("zh-CN")).alias("untranslated"))
 
 
-@query(r"SELECT doc_id, regexp_replace(substring(text, 1, 200), '([!-/:-@\[-`{-~])', '\\\1', 'g') AS escaped FROM documents")
+@query(r"SELECT doc_id, regexp_replace(text, '([!-/:-@\[-`{-~])', '\\\1', 'g') AS escaped FROM documents")
 def markdown_escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.markdown_escape(F.substring("text", 1, 200)).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", X.markdown_escape(F.col("text")).alias("escaped"))
 
 
 @query(r"SELECT o_orderkey, '- [' || regexp_replace(o_orderpriority, '([!-/:-@\[-`{-~])', '\\\1', 'g') || '](https://example.org/' || o_orderkey || ') — ' || regexp_replace(c_name, '([!-/:-@\[-`{-~])', '\\\1', 'g') || ' · ' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
@@ -381,7 +381,7 @@ def parse_feed_rows(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(feeds.feed_rows(xml)).alias("i")).select("page_id", "i.url", "i.title")
 
 
-@query(f"SELECT page_id, canonical AS url, '2024-01-0' || (page_id % 9 + 1) AS modified FROM {_PAGES}")
+@query(f"SELECT page_id, canonical AS url, '2024-01-0' || (page_id % 9 + 1) || 'T00:00:00Z' AS modified FROM {_PAGES}")
 def parse_sitemap_rows(spark, d):
     url = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     xml = F.concat(F.lit("<urlset><url><loc>"), url, F.lit("</loc></url><url><loc>"), url, F.lit("</loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod></url></urlset>"))
@@ -390,7 +390,7 @@ def parse_sitemap_rows(spark, d):
 
 @query(f"SELECT page_id, CAST(1 AS INTEGER) AS pos, 'Page ' || page_id AS title, canonical AS url, 'about it' AS summary FROM {_PAGES}")
 def parse_markdown_rows(spark, d):
-    text = F.concat(F.lit("# Index\n- [Page "), F.col("page_id").cast("string"), F.lit("]("), F.col("url"), F.lit("): about it\n* no link"))
+    text = F.concat(F.lit("# Index\n- [Page "), F.col("page_id").cast("string"), F.lit("]("), F.regexp_replace("url", r"^([^?#]*)", "$1.md"), F.lit("): about it\n* [no](https://x.org/bullet.md)\n- [no](https://x.org/page)"))
     return feeds.markdown_index(table(spark, d, "pages"), text, ["page_id"])
 
 
@@ -517,12 +517,12 @@ def failure_classes(spark, d):
     return table(spark, d, "events").select("event_id", decisions.failure_class(400 + F.col("event_id") % 120, code).alias("failure"))
 
 
-@query(f"WITH h AS (SELECT user_id, bool_or(c = 'ambiguous') AS a, bool_or(c = 'paid_failure') AS p, bool_or(c = 'fallback_pending') AS f FROM (SELECT user_id, {_CLASS} AS c FROM events WHERE event_id % 40 = 0) t GROUP BY 1) SELECT u.user_id, CASE WHEN coalesce(a, false) AND u.user_id % 7 <> 0 THEN 'held_ambiguous' WHEN coalesce(p, false) AND u.user_id % 3 <> 0 AND u.user_id % 7 <> 0 THEN 'held_paid' WHEN coalesce(f, false) THEN 'continue' ELSE 'send' END AS decision FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN h USING (user_id)")
+@query(f"WITH h AS (SELECT user_id, bool_or(c = 'ambiguous') AS a, bool_or(c = 'paid_failure') AS p, bool_or(c = 'fallback_pending') AS f FROM (SELECT user_id, {_CLASS} AS c FROM events) t GROUP BY 1) SELECT u.user_id, CASE WHEN coalesce(a, false) AND u.user_id % 7 <> 0 THEN 'held_ambiguous' WHEN coalesce(p, false) AND u.user_id % 3 <> 0 AND u.user_id % 7 <> 0 THEN 'held_paid' WHEN coalesce(f, false) THEN 'continue' ELSE 'send' END AS decision FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN h USING (user_id)")
 def hold_admission(spark, d):
     e = table(spark, d, "events")
     c = F.when(F.col("event_type") == "error", "ambiguous").when(F.col("event_type") == "purchase", "paid_failure").otherwise("fallback_pending")
     requests = e.select("user_id").distinct().withColumns({"retry_paid": F.col("user_id") % 3 == 0, "force": F.col("user_id") % 7 == 0})
-    return decisions.admission(requests, e.where("event_id % 40 = 0").select("user_id", c.alias("hold_class")), "user_id").select("user_id", "decision")
+    return decisions.admission(requests, e.select("user_id", c.alias("hold_class")), "user_id").select("user_id", "decision")
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'sent' WHEN event_type = 'purchase' THEN 'succeeded' WHEN 400 + event_id % 120 IN (408, 409, 425) OR 400 + event_id % 120 >= 500 THEN 'ambiguous' WHEN 400 + event_id % 120 IN (401, 402, 404, 429) AND event_id % 5 < 3 THEN 'retry' ELSE 'failed' END AS state, CASE WHEN event_type = 'view' THEN 1 WHEN event_type <> 'purchase' AND (400 + event_id % 120 IN (408, 409, 425) OR 400 + event_id % 120 >= 500) AND event_id % 2 = 0 THEN 1 ELSE 0 END AS reservation_active FROM events")
@@ -556,3 +556,6 @@ def reserve_revisions(spark, d):
 @query()
 def fit_payloads(spark, d):
     return table(spark, d, "documents").select("doc_id", decisions.fit_payload(F.col("text"), 600, lang=F.col("lang")).alias("payload"))
+
+
+from . import more as _more  # noqa: E402, F401  registers its queries

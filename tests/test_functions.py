@@ -96,3 +96,22 @@ def test_hash_keeps_nulls_apart(spark):
     assert df.select(V.stable_hash(F.col("x"), F.col("y"), F.col("z")).alias("h")).distinct().count() == 2
     assert V.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
     assert [one(spark, n, V.backoff_seconds, "int") for n in (1, 2, 9, 50)] == [60, 120, 15360, 15360]
+
+
+def test_content_normalization_and_cut():
+    assert X.normalize_content("a\u3000\u2003b\xa0c\u2028d\r\n\r\n\n\ne\x07f") == "a b c\nd\n\ne f"
+    assert X.truncate_one("One two. Three four five", 20) == ("One two. Three…", True)
+    assert X.truncate_one("Aaaaaaa bbbb. ccccccccccc", 16) == ("Aaaaaaa bbbb.…", True)
+    assert X.truncate_one("abcdef", 1) == ("…", True) and X.truncate_one("abcdefgh", 4) == ("abc…", True)
+
+
+def test_languages(spark):
+    df = spark.createDataFrame([(None,), ("  ",), ("EN_us",), ("zh-Hans-CN",), ("simplified_chinese",), ("fr",)], "s string")
+    assert [r[0] for r in df.select(X.normalize_language(F.col("s"))).collect()] == ["en", "en", "en", "zh-CN", "zh-CN", None]
+    assert [r[0] for r in df.select(X.normalize_language(F.col("s"), strict=False)).collect()][-1] == "en"
+
+
+def test_dates():
+    now = dt.datetime(2024, 3, 1, tzinfo=dt.UTC)
+    given = ["Tue, 02 Jan 2024 03:04:05 +0200", "2024-01-02T03:04:05.678Z", "2024-01-02", "January 2, 2024", "Jan 2, 2024", "2024/01/02", "Mar 5", "December 24", "soon", "", None]
+    assert [V.parse_date(x, now) for x in given] == ["2024-01-02T01:04:05Z", "2024-01-02T03:04:05Z", *["2024-01-02T00:00:00Z"] * 4, "2024-03-05T00:00:00Z", "2023-12-24T00:00:00Z", None, None, None]

@@ -28,6 +28,15 @@ def test_merge(spark):
     assert got == [("s", "a", "new", True, "updated"), ("s", "b", "same", False, "kept"), ("s", "c", "x", False, "inserted"), ("t", "a", "first", True, "baseline")]
 
 
+def test_merge_twice_is_the_same_state(spark):
+    s = spark.createDataFrame([(7, "s", "a", "u1", "old", True)], "id long, src string, ext string, url string, title string, seen boolean")
+    b = spark.createDataFrame([(0, "s", "b", "u2", "x"), (1, "s", "c", "u3", "y"), (2, "t", "a", "u1", "z")], "pos long, src string, ext string, url string, title string")
+    once = state.merge_by_either_key(s, b, "src", "ext", "url", ["title"], "pos").drop("change")
+    assert sorted(r.id for r in once.collect()) == [7, 8, 9, 10]
+    again = state.merge_by_either_key(once, b, "src", "ext", "url", ["title"], "pos")
+    assert {r.change for r in again.collect()} == {"kept"} and again.count() == 4
+
+
 def test_upsert(spark):
     s = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, n int, v string")
     c = spark.createDataFrame([(2, 1, ""), (3, 1, "c")], "k int, n int, v string")

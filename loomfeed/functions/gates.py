@@ -118,7 +118,7 @@ def redacted(s: Column, limit: int = 240) -> Column:
 
 def retry_after(value: Column, most: int = 86_400) -> Column:
     """Whole seconds of a Retry-After header, at most `most`; null for anything else."""
-    return F.least(F.when(F.trim(value).rlike(r"^\d{1,9}$"), F.trim(value).cast("long")), F.lit(most).cast("long"))
+    return F.when(F.trim(value).rlike(r"^\d{1,9}$"), F.least(F.trim(value).cast("long"), F.lit(most).cast("long")))
 
 
 _MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))

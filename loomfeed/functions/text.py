@@ -32,9 +32,8 @@ def output_text(s: Column) -> Column:
 
 
 def capped(s: Column, limit: int) -> Column:
-    """At most limit characters; a cut text ends with an ellipsis."""
-    head = F.regexp_replace(F.substring(s, 1, limit - 1), r"(?U)\s+$", "")
-    return F.when(F.length(s) > limit, F.concat(head, F.lit(ELLIPSIS))).otherwise(s)
+    """At most limit characters of a collapsed text; a cut text ends with an ellipsis."""
+    return F.when(F.length(s) > limit, F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit(ELLIPSIS))).otherwise(s)
 
 
 def markdown_escape(s: Column) -> Column:

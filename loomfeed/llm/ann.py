@@ -85,11 +85,20 @@ def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, re
 def _best(q: np.ndarray, own: np.ndarray, masks: np.ndarray, x: np.ndarray, ids: np.ndarray, cell: np.ndarray, k: int):
     """Of one block of vectors: index of the query, id and score of each query's best k."""
     at, who, score = [], [], []
+    order = np.argsort(cell, kind="stable")
+    x, ids, cell = x[order], ids[order], cell[order]
     for lo in range(0, len(x), 8192):
         v, vid, c = x[lo : lo + 8192], ids[lo : lo + 8192], cell[lo : lo + 8192]
+        cut = np.flatnonzero(np.append(True, c[1:] != c[:-1])).tolist()
+        spans = list(zip(cut, [*cut[1:], len(c)], strict=True))
         for i in range(0, len(q), 256):
-            s = q[i : i + 256] @ v.T
-            ok = masks[i : i + 256][:, c] & (own[i : i + 256, None] != vid[None])
+            # the entries of each cell meet the queries that visit it
+            part, s = q[i : i + 256], np.full((len(q[i : i + 256]), len(v)), -np.inf)
+            for a, b in spans:
+                rows = np.flatnonzero(masks[i : i + 256, c[a]])
+                if len(rows):
+                    s[rows, a:b] = part[rows] @ v[a:b].T
+            ok = np.isfinite(s) & (own[i : i + 256, None] != vid[None])
             s[~ok] = -np.inf
             top = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
             low = top - 1e-9 * (1 + np.abs(np.where(np.isfinite(top), top, 0)))
@@ -169,7 +178,7 @@ def search(table: DataFrame, is_query, k: int = 20, centroids: int = 64, recall:
                         out["mask"].append(np.packbits(m.ravel()).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["query"], pa.int64()), pa.array(out["vec"], pa.binary()), pa.array(out["shard"], pa.int32()), pa.array(out["mask"], pa.binary())], names=list(out))
 
-    queries = indexed.join(picked, "vec_id").select("vec_id", "vec").dropDuplicates(["vec_id"])
+    queries = indexed.join(picked, "vec_id").groupBy("vec_id").agg(F.min("vec").alias("vec"))  # of a repeated id one vector asks
     probes = materialise(queries.mapInArrow(probe, "query long, vec binary, shard int, mask binary"), "probes")
     # a shard meets the queries that look into it in blocks of both
     entry = indexed.select("vec_id", "vec", "cell", F.pmod(F.expr(f"cell div {width}"), F.lit(shards)).cast("int").alias("shard"))

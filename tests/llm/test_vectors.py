@@ -46,6 +46,23 @@ def test_near_duplicates_equal_brute_force(spark, rows, block):
         assert got[i] == want, i
 
 
+def test_production_parameters_on_the_embeddings_table(spark):
+    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float), r.label) for r in t.collect() if usable(r.embedding) and r.label is not None]
+    x = np.stack([v / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([lab for *_, lab in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in near_duplicates(t).collect()}
+    have = np.array([got[i] for i, *_ in rows])
+    assert (have <= near.sum(1)).all() and have.sum() >= 0.99 * near.sum()
+    ids, v = np.array([i for i, *_ in rows]), np.stack([v for _, v, _ in rows])
+    found = {}
+    for r in search(t, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    best = {q: [i for i in ids[np.argsort(-(v @ v[ids == q][0]), kind="stable")].tolist() if i != q][:20] for q in found}
+    assert len(found) == (ids % 20 == 0).sum() and np.mean([len(found[q] & set(best[q])) / 20 for q in found]) >= 0.9
+
+
 def test_empty_and_repeated_vectors(spark):
     df = spark.createDataFrame([], KIND)
     assert near_duplicates(df).count() == 0 and search(df, F.col("vec_id") % 2 == 0).count() == 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trim
 from .memo import Memo, Unsafe
 
 _encoders: dict = {}
@@ -53,7 +53,7 @@ def _rank_encoder(tk):
 
 
 def _encoder(path: str):
-    """text -> ids as little-endian uint32 bytes, as the tokenizers library gives them; one per worker."""
+    """text -> ids as little-endian uint32 bytes, as the tokenizers library gives them; one per worker. encode.parts is what it remembers."""
     if path in _encoders:
         return _encoders[path]
     from tokenizers import Tokenizer
@@ -78,6 +78,7 @@ def _encoder(path: str):
         except Unsafe:
             return whole(text)
 
+    encode.parts = parts
     _encoders[path] = encode
     return encode
 
@@ -102,6 +103,8 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text
                     crc.append(zlib.crc32(ids[4 * lo : 4 * hi]))
                     lo, k = hi, k + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.parts.clear()
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

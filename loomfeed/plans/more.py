@@ -182,12 +182,12 @@ def safe_urls(spark, d):
     return table(spark, d, "pages").select("page_id", G.safe_http_url(raw).alias("safe"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 1 THEN NULL ELSE split_part(url, '#', 1) END AS fetch FROM pages WHERE regexp_matches(url, '^https?://[^/?#]+/')")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 1 OR NOT regexp_matches(url, '^https?://[^/?#]') THEN NULL ELSE regexp_replace(split_part(url, '#', 1), '^(https?://[^/?]+)($|[?])', '\\1/\\2') END AS fetch FROM pages")
 def fetch_urls(spark, d):
     k = F.col("page_id") % 3
     port = F.when(k == 1, ":8080").when(F.col("url").startswith("https"), ":443").otherwise(":80")
     raw = F.when(k == 2, F.col("url")).otherwise(F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), port, F.regexp_replace("url", "^[a-z]+://[^/]+", "")))
-    return table(spark, d, "pages").where(F.col("url").rlike("^https?://[^/?#]+/")).select("page_id", G.fetch_url(raw).alias("fetch"))
+    return table(spark, d, "pages").select("page_id", G.fetch_url(raw).alias("fetch"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN contains(url, '.example.com/en/') AND regexp_matches(url, '/en/.+') ELSE contains(url, '.example.com') END AS allowed FROM pages")
@@ -226,10 +226,9 @@ def artifact_keys(spark, d):
     return table(spark, d, "customer").select("c_custkey", G.tuple_key(F.col("c_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")), F.col("c_custkey")).alias("key"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN strftime(t, '%Y年%-m月%-d日') ELSE strftime(t, '%b %-d, %Y') END AS day FROM (SELECT *, o_orderdate - INTERVAL 8 HOUR - INTERVAL 1 DAY + INTERVAL 1 DAY AS t FROM orders) o WHERE month(o_orderdate) IN (1, 2, 12)")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN strftime(t, '%Y年%-m月%-d日') ELSE strftime(t, '%b %-d, %Y') END AS day FROM (SELECT *, o_orderdate - INTERVAL 8 HOUR AS t FROM orders) o")
 def local_dates(spark, d):
-    o = table(spark, d, "orders").where("month(o_orderdate) IN (1, 2, 12)")
-    return o.select("o_orderkey", G.local_date(_ts("o_orderdate"), F.when(F.col("o_orderstatus") == "O", "zh-CN").otherwise("en")).alias("day"))
+    return table(spark, d, "orders").select("o_orderkey", G.local_date(_ts("o_orderdate"), F.when(F.col("o_orderstatus") == "O", "zh-CN").otherwise("en")).alias("day"))
 
 
 @query("SELECT user_id, min(event_id) FILTER (event_type = 'click') AS first FROM events GROUP BY 1")

@@ -72,11 +72,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op9_lm_score, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op9_lm_score, op10_byte_bpe, op13_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .license_scan import oracle_sql as license_sql
 
-    return {"op4_license_scan": license_sql()}
+    from .decontaminate import oracle_sql as decontaminate_sql
+
+    return {"op4_license_scan": license_sql(), "op13_benchmark_decontamination": decontaminate_sql()}

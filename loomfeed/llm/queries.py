@@ -72,6 +72,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), slips=31)
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -80,12 +92,13 @@ def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op9_lm_score, op10_byte_bpe, op13_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_vectors, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_quality_classifier, op7_best_fit_packing, op8_jaccard_join, op9_lm_score, op10_byte_bpe, op11_tokenizer_alignment, op12_spelling_variants, op13_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .license_scan import oracle_sql as license_sql
 
     from .decontaminate import oracle_sql as decontaminate_sql
+    from .variants import oracle_sql as variants_sql
 
-    return {"op4_license_scan": license_sql(), "op13_benchmark_decontamination": decontaminate_sql()}
+    return {"op4_license_scan": license_sql(), "op12_spelling_variants": variants_sql(), "op13_benchmark_decontamination": decontaminate_sql()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in this order, by a window; its rank filter is applied below the shuffle too. latest_by() has no sort."""
@@ -42,9 +44,8 @@ def fold_merge(df: DataFrame, key: str, pos: str, longest: list[str], first: lis
 
 
 def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """Rows of each key in order as long as their running size stays within the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    """Rows of each key in order as long as their running size stays within the budget; a large key is summed in many ranges."""
+    return running(df, keys, order, {"used": ("sum", size)}).where(F.col("used") <= budget)
 
 
 def newest(df: DataFrame, limit: int, *order: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import civil_day
+from .scan import running
 
 
 def either_key_match(probe: DataFrame, stored: DataFrame, probe_id: str, within: str, key_a: str, key_b: str, stored_id: str) -> DataFrame:
@@ -63,6 +64,5 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overlaps(df: DataFrame, start: str, end: str, within: list[str] | None = None) -> DataFrame:
-    """Rows that start before the row before them has ended. Without a grouping this is for small ledgers only."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(start)
-    return df.withColumn("previous_end", F.lag(end).over(w)).where(F.col(start) < F.col("previous_end"))
+    """Rows that start before the row before them has ended; a large group, or no grouping at all, is checked in many ranges."""
+    return running(df, within or [], [F.col(start), F.col(end)], {"previous_end": ("last", F.col(end))}).where(F.col(start) < F.col("previous_end"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_escape, output_text
 from ..functions.values import canonical_json, rfc822
+from .scan import running
 
 
 def digest_line(title: Column, source: Column, when: Column, url: Column) -> Column:
@@ -64,12 +65,11 @@ def packets(df: DataFrame, key: str, order: str, title: str, summary: str, budge
     """key, json, n_items: for each key one packet of at most budget characters.
 
     Only rows that can be in the packet are gathered: those before which the running
-    length is within the budget, so a large key stays bounded.
+    length is within the budget; the running length of a large key is taken in many ranges.
     """
     rows = df.select(key, F.col(order).alias("o"), F.coalesce(title, F.lit("")).alias("t"), F.coalesce(summary, F.lit("")).alias("s"))
     n = rows.groupBy(key).agg(F.count("*").alias("all"))
-    before = Window.partitionBy(key).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("used", F.coalesce(F.sum(F.length("t") + F.length("s")).over(before), F.lit(0))).where(F.col("used") <= budget)
+    near = running(rows, [key], [F.col("o")], {"used": ("sum", F.length("t") + F.length("s"))}, before=True).where(F.coalesce("used", F.lit(0)) <= budget)
     near = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("o", "t", F.substring("s", 1, budget).alias("s")))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import backoff_seconds
 from .folds import latest_by, newest
 from .joins import either_key_match
+from .scan import running
 
 # Risk of a hold, by class.
 RISK = {"fallback_pending": 1, "paid_failure": 2, "ambiguous": 3}
@@ -139,7 +140,7 @@ def insert_missing(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def next_numbers(rows: DataFrame, state: DataFrame, number: str, within: str, order: list[str]) -> DataFrame:
-    """rows numbered after the largest number that their group has in state."""
+    """rows numbered after the largest number that their group has in state; a large group is numbered in many ranges."""
     top = state.groupBy(within).agg(F.max(number).alias("_top"))
-    w = Window.partitionBy(within).orderBy(*order)
-    return rows.join(top, within, "left").withColumn(number, F.coalesce("_top", F.lit(0)) + F.row_number().over(w)).drop("_top")
+    numbered = running(rows, [within], [F.col(c) for c in order], {"_nth": ("count", None)})
+    return numbered.join(top, within, "left").withColumn(number, F.coalesce("_top", F.lit(0)) + F.col("_nth")).drop("_top", "_nth")

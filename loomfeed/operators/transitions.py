@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def mark_seen(seen: DataFrame, pending: DataFrame, entries: DataFrame, keys: list[str], stamp: str) -> tuple[DataFrame, DataFrame]:
     """(seen, pending) after entries have been handled: a null or empty stamp keeps the old one; handled keys are no longer pending."""
@@ -79,11 +81,10 @@ def resolve_identities(given: DataFrame, articles: DataFrame, identity: list[str
 
 
 def order_violations(rows: DataFrame, within: str, position: str, keys: list[str]) -> DataFrame:
-    """Rows that do not come after the one before them in the order of keys; equal keys are duplicates."""
-    w = Window.partitionBy(within).orderBy(position)
-    key, before = F.struct(*keys), F.lag(F.struct(*keys)).over(w)
-    out = rows.withColumn("violation", F.when(before == key, "duplicate").when(before > key, "order"))
-    return out.where("violation IS NOT NULL")
+    """Rows that do not come after the one before them in the order of keys; equal keys are duplicates. A large group is checked in many ranges."""
+    out = running(rows, [within], [F.col(position)], {"_before": ("last", F.struct(*keys))})
+    key, before = F.struct(*keys), F.col("_before")
+    return out.withColumn("violation", F.when(before == key, "duplicate").when(before > key, "order")).where("violation IS NOT NULL").drop("_before")
 
 
 def stalled(attempts: DataFrame, jobs: DataFrame, before: Column) -> DataFrame:

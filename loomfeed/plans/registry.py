@@ -560,4 +560,5 @@ def fit_payloads(spark, d):
 
 from . import further as _further  # noqa: E402, F401  registers its queries
 from . import more as _more  # noqa: E402, F401  registers its queries
+from . import ordered as _ordered  # noqa: E402, F401  registers its queries
 from . import streams as _streams  # noqa: E402, F401  registers its queries

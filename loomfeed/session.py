@@ -36,3 +36,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomfeed-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df to the shared folder and read it again: short lineage, and any executor can read the copy."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomfeed_path = path
+    return out
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path that any of Spark's file systems may hold."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote; df must not be read afterwards."""
+    if path := getattr(df, "_loomfeed_path", None):
+        fs, p = hadoop_path(df.sparkSession, path)
+        fs.delete(p, True)

@@ -23,14 +23,13 @@ def totals_since(attempts: DataFrame, ledger: DataFrame, since: Column) -> DataF
     return own.unionByName(carried).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("requests", "tokens", "cost_micros")))
 
 
-def daily_rollup(attempts: DataFrame, ledger: DataFrame | None = None, zone: str = ZONE, keep_days: int | None = None) -> DataFrame:
-    """One row per civil day of the zone with its counters, merged with carried days.
+def counters() -> list[Column]:
+    """Aggregates of attempts: requests by kind, reserved amounts, used amounts.
 
     A reservation that is still active counts as unconfirmed with its reserved amounts; an
     attempt without actual usage as unconfirmed only; others are confirmed with what they
     used; uncached input is what is neither read from nor written to the cache.
     """
-    a = attempts if ledger is None else not_carried(attempts, ledger, "started")
     active, missing = F.col("reservation_active") == 1, F.col("actual_total").isNull()
     confirmed = ~active & ~missing
 
@@ -38,7 +37,7 @@ def daily_rollup(attempts: DataFrame, ledger: DataFrame | None = None, zone: str
         return F.coalesce(F.sum(F.when(confirmed, c if isinstance(c, Column) else F.coalesce(c, F.lit(0)))), F.lit(0)).cast("long")
 
     n = lambda c: F.count_if(c).cast("long")
-    out = a.groupBy(civil_day(F.col("started"), zone).alias("day")).agg(
+    return [
         F.count("*").cast("long").alias("requests"),
         n(confirmed).alias("confirmed"),
         n(active | missing).alias("unconfirmed"),
@@ -46,7 +45,13 @@ def daily_rollup(attempts: DataFrame, ledger: DataFrame | None = None, zone: str
         F.coalesce(F.sum(F.when(active, F.col("reserved_cost"))), F.lit(0)).cast("long").alias("reserved_cost"),
         *(used(f"actual_{c}").alias(c) for c in ("input", "cached", "cache_write", "output", "reasoning", "total", "cost")),
         used(F.greatest(F.lit(0), F.coalesce("actual_input", F.lit(0)) - F.coalesce("actual_cached", F.lit(0)) - F.coalesce("actual_cache_write", F.lit(0)))).alias("cache_miss"),
-    )
+    ]
+
+
+def daily_rollup(attempts: DataFrame, ledger: DataFrame | None = None, zone: str = ZONE, keep_days: int | None = None) -> DataFrame:
+    """One row per civil day of the zone with its counters(), merged with carried days."""
+    a = attempts if ledger is None else not_carried(attempts, ledger, "started")
+    out = a.groupBy(civil_day(F.col("started"), zone).alias("day")).agg(*counters())
     if ledger is not None:
         both = out.unionByName(ledger.select([c for c in ledger.columns if c in out.columns]), allowMissingColumns=True)
         out = both.groupBy("day").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in out.columns if c != "day"))

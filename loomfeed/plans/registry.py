@@ -126,7 +126,10 @@ _LA = "CAST(timezone('America/Los_Angeles', timezone('UTC', {})) AS DATE)"
 
 
 def _attempts(spark, d):
-    e = table(spark, d, "events")
+    return attempts_of(table(spark, d, "events"))
+
+
+def attempts_of(e: DataFrame) -> DataFrame:
     used = F.col("event_type").isin("click", "purchase")
     held = F.col("event_type") == "signup"
     n = lambda k: F.when(used, F.col("event_id") % k)
@@ -562,3 +565,4 @@ from . import further as _further  # noqa: E402, F401  registers its queries
 from . import more as _more  # noqa: E402, F401  registers its queries
 from . import ordered as _ordered  # noqa: E402, F401  registers its queries
 from . import streams as _streams  # noqa: E402, F401  registers its queries
+from . import tables as _tables  # noqa: E402, F401  registers its queries

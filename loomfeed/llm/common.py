@@ -65,13 +65,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) for the nodes of edges (u, v); component is the smallest node that links reach.
 
     Alternating large-star and small-star rounds, each a partially aggregated minimum
     and a join; between rounds the edges are a table in the shared folder. Nulls and
     self-loops are ignored; an empty input gives an empty result. Ends when the edges are
-    stars.
+    stars, and raises where `rounds` do not get there.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -92,4 +92,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         discard(e)
         discard(large)
         e = new
+    else:
+        raise RuntimeError(f"links are not reduced to stars after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -561,6 +561,7 @@ def fit_payloads(spark, d):
     return table(spark, d, "documents").select("doc_id", decisions.fit_payload(F.col("text"), 600, lang=F.col("lang")).alias("payload"))
 
 
+from . import digests as _digests  # noqa: E402, F401  registers its queries
 from . import further as _further  # noqa: E402, F401  registers its queries
 from . import more as _more  # noqa: E402, F401  registers its queries
 from . import ordered as _ordered  # noqa: E402, F401  registers its queries

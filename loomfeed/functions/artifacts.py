@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import seems_untranslated
+from .udf import arrow
 
 # CJK punctuation, kana, ideographs and Hangul.
 CJK = r"[\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2F800}-\x{2FA1F}]"
@@ -61,74 +61,82 @@ def artifact_untranslated(task: Column, language: Column, fields: Column, title:
     return F.coalesce((task == "translation") & (F.coalesce(seems_untranslated(title, fields["title"], language), F.lit(False)) | F.coalesce(seems_untranslated(summary, fields["publisher_summary"], language), F.lit(False))), F.lit(False))
 
 
-# Keys of the two contracts, most characters of their texts, most key points.
-KEYS = {"summary": {"summary", "key_points", "language", "basis", "limitations"}, "translation": {"title", "publisher_summary", "language", "limitations"}}
-MOST = {"language": 32, "limitations": 800, "summary": 2400, "key_points": 600, "title": 1000, "publisher_summary": 6000}
+# Fields of the two contracts with the most characters of their texts (0: not a text); those that may be empty; most key points.
+CONTRACTS = {
+    "summary": {"language": 32, "limitations": 800, "basis": 0, "key_points": 600, "summary": 2400},
+    "translation": {"language": 32, "limitations": 800, "title": 1000, "publisher_summary": 6000},
+}
 MAY_BE_EMPTY = ("limitations", "publisher_summary")
 MOST_POINTS = 6
 
 
-class Broken(ValueError):
-    """The output breaks its contract."""
+@arrow("string")
+def _composed(s: pa.Array) -> pa.Array:
+    """NFC, which Spark has no function for."""
+    return pa.array([unicodedata.normalize("NFC", x) if x is not None else None for x in s.to_pylist()], pa.string())
 
 
-def _text(value, name: str) -> str:
-    if not isinstance(value, str):
-        raise Broken(f"{name} is no text")
-    out = "".join(c for c in unicodedata.normalize("NFC", value) if c >= " " or c in "\n\t").strip()
-    if not out and name not in MAY_BE_EMPTY:
-        raise Broken(f"{name} is empty")
-    if len(out) > MOST[name]:
-        raise Broken(f"{name} is too long")
-    return out
+def _cleaned(value: Column) -> Column:
+    """A text in NFC without controls but tab and line feed, and without white space at its ends."""
+    plain = F.regexp_replace(value, r"[\x00-\x08\x0B-\x1F]", "")
+    return F.regexp_replace(plain, r"^[\s\x1C-\x1F\x85\p{Z}]+|[\s\x1C-\x1F\x85\p{Z}]+$", "")
 
 
-def check_output(task: str, text: str | None, language: str, scope: str, fields: Sequence[str] = ("title", "publisher_summary"), empty_summary: bool = False) -> tuple[dict, str]:
-    """(clean fields, readable text) of an answer; Broken if it breaks the contract of its task.
+def _broken(kind: Column, text: Column, name: str, most: int) -> Column:
+    """What is wrong with a cleaned text field, or null."""
+    out = F.when(F.coalesce(kind, F.lit("")) != "STRING", f"{name} is no text")
+    if name not in MAY_BE_EMPTY:
+        out = out.when(text == "", f"{name} is empty")
+    return out.when(F.length(text) > most, f"{name} is too long")
 
-    empty_summary: the article has no summary, so null is read as the empty text. Whether a
-    translation is one is asked by artifact_untranslated().
+
+def checked_output(task: Column, text: Column, language: Column, scope: str = "metadata", fields: Sequence[str] = ("title", "publisher_summary"), empty_summary: bool = False) -> Column:
+    """struct(error, readable): what is wrong with an answer by the contract of its task, or its readable text.
+
+    The contract is a table of fields: an answer is a JSON object with exactly those, each a
+    text within its limit; key points are a list of at most six texts. language must be the
+    one asked for, basis the scope. Of a translation only `fields` may be there; null is the
+    empty text for an article without a summary (empty_summary). Errors are named in
+    the order of the table. Whether a translation is one is asked by artifact_untranslated().
     """
-    try:
-        value = json.loads(text)
-    except (TypeError, ValueError) as e:
-        raise Broken("no JSON") from e
-    if task not in KEYS:
-        raise Broken(f"unknown task {task}")
-    if not isinstance(value, dict) or set(value) != KEYS[task]:
-        raise Broken("keys differ from the contract")
-    clean = {k: _text(value[k], k) for k in ("language", "limitations")}
-    if clean["language"] != language:
-        raise Broken("another language")
-    if task == "summary":
-        points = value["key_points"]
-        if value["basis"] != scope:
-            raise Broken("another basis")
-        if not isinstance(points, list) or len(points) > MOST_POINTS:
-            raise Broken("key_points is no list of at most six")
-        clean |= {"basis": scope, "key_points": [_text(p, "key_points") for p in points], "summary": _text(value["summary"], "summary")}
-        return clean, "\n".join([clean["summary"], *(f"• {p}" for p in clean["key_points"])])
-    for name in ("title", "publisher_summary"):
-        if name not in fields and value[name] is not None:
-            raise Broken(f"{name} was not asked for")
-        lacks = name == "publisher_summary" and value[name] is None and empty_summary
-        clean[name] = ("" if lacks else _text(value[name], name)) if name in fields else None
-    return clean, "\n\n".join(clean[n] for n in ("title", "publisher_summary") if n in fields)
-
-
-def checked_output(task: Column, text: Column, language: Column, scope: str = "metadata") -> Column:
-    """A column function of check_output(): struct(error, readable)."""
-
-    def run(t: pa.Array, x: pa.Array, lang: pa.Array) -> pa.Array:
-        out = []
-        for a, b, c in zip(t.to_pylist(), x.to_pylist(), lang.to_pylist(), strict=True):
-            try:
-                out.append({"error": None, "readable": check_output(a, b, c, scope)[1]})
-            except Broken as e:
-                out.append({"error": str(e), "readable": None})
-        return pa.array(out, pa.struct([("error", pa.string()), ("readable", pa.string())]))
-
-    return F.arrow_udf(run, "struct<error:string,readable:string>")(task, text, language)
+    v = F.try_parse_json(text)
+    kind = lambda path: F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+    value = lambda name: _cleaned(_composed(F.when(kind(f"$.{name}") == "STRING", F.try_variant_get(v, f"$.{name}", "string"))))
+    points = F.when(kind("$.key_points") == "ARRAY", F.try_variant_get(v, "$.key_points", "array<variant>"))
+    point_kinds = F.transform(points, lambda p: F.regexp_extract(F.schema_of_variant(p), "^[A-Z]+", 0))
+    # texts of a list are composed as one string, parted by a control character that cleaning takes out
+    listed = F.transform(F.split(_composed(F.array_join(F.transform(points, lambda p: F.replace(F.coalesce(F.try_variant_get(p, "$", "string"), F.lit("")), F.lit("\x00"), F.lit(""))), "\x00")), "\x00"), _cleaned)
+    listed = F.when(F.size(points) == 0, F.array().cast("array<string>")).otherwise(listed)
+
+    def wrong(of: str) -> list[Column]:
+        names = F.array_sort(F.map_keys(F.from_json(text, "map<string,string>")))
+        out = [F.when(~F.coalesce(names == F.array(*map(F.lit, sorted(CONTRACTS[of]))), F.lit(False)), "keys differ from the contract")]
+        for name, most in CONTRACTS[of].items():
+            if name == "basis":
+                out.append(F.when(~F.coalesce(F.try_variant_get(v, "$.basis", "string") == scope, F.lit(False)), "another basis"))
+            elif name == "key_points":
+                out.append(F.when(points.isNull() | (F.size(points) > MOST_POINTS), "key_points is no list of at most six"))
+                out.append(F.when(F.exists(point_kinds, lambda k: k != "STRING"), "key_points is no text").when(F.exists(listed, lambda p: p == ""), "key_points is empty").when(F.exists(listed, lambda p: F.length(p) > most), "key_points is too long"))
+            elif of == "translation" and name in ("title", "publisher_summary") and name not in fields:
+                out.append(F.when(F.coalesce(kind(f"$.{name}"), F.lit("VOID")) != "VOID", f"{name} was not asked for"))
+            else:
+                broken = _broken(kind(f"$.{name}"), value(name), name, most)
+                if name == "publisher_summary" and empty_summary:
+                    broken = F.when(kind("$.publisher_summary") != "VOID", broken)
+                out.append(broken)
+            if name == "limitations":
+                out.append(F.when(value("language") != language, "another language"))
+        return out
+
+    error = F.coalesce(
+        F.when(v.isNull(), "no JSON"),
+        F.when(~F.coalesce(task.isin(*CONTRACTS), F.lit(False)), F.concat(F.lit("unknown task "), F.coalesce(task, F.lit("null")))),
+        F.when(~F.coalesce(kind("$") == "OBJECT", F.lit(False)), "keys differ from the contract"),
+        *[F.when(task == of, F.coalesce(*wrong(of))) for of in CONTRACTS],
+    )
+    short = F.array_join(F.concat(F.array(value("summary")), F.transform(listed, lambda p: F.concat(F.lit("• "), p))), "\n")
+    whole = F.concat_ws("\n\n", *[F.coalesce(value(n), F.lit("")) for n in ("title", "publisher_summary") if n in fields])
+    return F.struct(error.alias("error"), F.when(error.isNull(), F.when(task == "summary", short).otherwise(whole)).alias("readable"))
 
 
 def paid_retry_authorized(classes: Column) -> Column:

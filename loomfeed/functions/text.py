@@ -50,10 +50,10 @@ class _Text(HTMLParser):
         self.runs.append(data)
 
 
-def clean_one(s: str | None, limit: int | None = None, punctuation: bool = False) -> str | None:
-    """Entities decoded, tags stripped, controls and white space cleaned, cut at the limit."""
+def clean_one(s: str | None, limit: int | None = None, punctuation: bool = False) -> str:
+    """Entities decoded, tags stripped, controls and white space cleaned, cut at the limit; null is empty."""
     if s is None:
-        return None
+        return ""
     p = _Text()
     p.feed(unescape(s))
     p.close()

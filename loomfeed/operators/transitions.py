@@ -5,40 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.artifacts import settled_by_success
 from .scan import running
 
 
-def mark_seen(seen: DataFrame, pending: DataFrame, entries: DataFrame, keys: list[str], stamp: str) -> tuple[DataFrame, DataFrame]:
-    """(seen, pending) after entries have been handled: a null or empty stamp keeps the old one; handled keys are no longer pending."""
-    new = entries.groupBy(*keys).agg(F.max(F.nullif(stamp, F.lit(""))).alias("_new"))
-    out = seen.join(new, keys, "full_outer").select(*keys, F.coalesce("_new", stamp).alias(stamp))
+def mark_seen(seen: DataFrame, pending: DataFrame, entries: DataFrame, keys: list[str], stamp: str, position: str) -> tuple[DataFrame, DataFrame]:
+    """(seen, pending) after entries were handled in the order of position: the last entry of a key gives its stamp, an empty one too (null counts as empty); handled keys are no longer pending."""
+    new = entries.groupBy(*keys).agg(F.max_by(F.struct(F.coalesce(stamp, F.lit("")).alias("stamp")), position).alias("_new"))
+    out = seen.join(new, keys, "full_outer").select(*keys, F.coalesce("_new.stamp", stamp).alias(stamp))
     return out, pending.join(new.select(*keys), keys, "left_anti")
 
 
 def record_checks(state: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """Sources after their runs (key, at, outcome, error): the last run counts; a failure adds to the streak, any other outcome ends it."""
+    """Checks after their runs (key, at, outcome, error): the last run counts; a failure adds to the streak, any other outcome ends it. Keys without a state begin one with no failures; times of a key differ."""
     last = runs.groupBy(key).agg(F.max_by(F.struct("at", "outcome", "error"), "at").alias("l"), F.max(F.when(F.col("outcome") != "failure", F.col("at"))).alias("ok"))
     after = runs.join(last.select(key, "ok"), key).groupBy(key).agg(F.count_if((F.col("outcome") == "failure") & (F.col("ok").isNull() | (F.col("at") > F.col("ok")))).alias("n"))
-    j = state.join(last, key, "left").join(after, key, "left")
-    failures = F.when(F.col("l").isNull(), F.col("failures")).otherwise(F.col("n") + F.when(F.col("ok").isNull(), F.col("failures")).otherwise(0))
+    j = state.join(last, key, "full_outer").join(after, key, "left")
+    before = F.coalesce("failures", F.lit(0))
+    failures = F.when(F.col("l").isNull(), before).otherwise(F.col("n") + F.when(F.col("ok").isNull(), before).otherwise(0))
     return j.select(key, F.coalesce("l.at", "checked_at").alias("checked_at"), F.coalesce("ok", "ok_at").alias("ok_at"), failures.cast("long").alias("failures"), F.when(F.col("l").isNull(), F.col("error")).otherwise(F.when(F.col("l.outcome") == "failure", F.col("l.error"))).alias("error"))
 
 
-def sync_configs(stored: DataFrame, configured: DataFrame, key: str, identity: list[str], fields: list[str], fetch: str, validators: list[str]) -> DataFrame:
-    """Stored sources under a new configuration, with change: inserted, updated, kept, absent or conflict.
+def sync_configs(stored: DataFrame, configured: DataFrame, key: str, identity: list[str], fields: list[str], fetch: str, validators: list[str], initialized: str) -> DataFrame:
+    """Stored sources under a new configuration, with change: inserted, updated, kept, absent, or conflict and refused.
 
-    A source whose identity differs is a conflict and stays as it is; validators are
-    dropped if the fetch column changes.
+    The identity, of which `fetch` is a part, of a source that is initialized (its column not
+    null or empty) must stay; one that would change is a conflict, and then nothing is changed
+    at all: new sources are left out and changes to others are refused. Validators are
+    dropped where the fetch column changes.
     """
     cols = [*identity, *fields]
     n = configured.select(key, *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_in"))
     j = stored.withColumn("_had", F.lit(True)).join(n, key, "full_outer")
     same = lambda names: F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), lambda x: x)
-    change = F.when(F.col("_in").isNull(), "absent").when(F.col("_had").isNull(), "inserted").when(~same(identity), "conflict").when(same(fields), "kept").otherwise("updated")
+    fixed = F.coalesce(F.col(initialized).cast("string"), F.lit("")) != ""
+    change = F.when(F.col("_in").isNull(), "absent").when(F.col("_had").isNull(), "inserted").when(fixed & ~same(identity), "conflict").when(same(cols), "kept").otherwise("updated")
     j = j.withColumn("change", change)
+    clash = j.agg(F.coalesce(F.bool_or(F.col("change") == "conflict"), F.lit(False)).alias("_clash"))
+    j = j.join(F.broadcast(clash)).where(~(F.col("_clash") & (F.col("change") == "inserted")))  # one row
+    j = j.withColumn("change", F.when(F.col("_clash") & (F.col("change") == "updated"), "refused").otherwise(F.col("change")))
     put = F.col("change").isin("inserted", "updated")
     moved = put & ~F.col(fetch).eqNullSafe(F.col(f"_{fetch}"))
-    return j.select(key, *[F.when(put, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in cols], *[F.when(~moved, F.col(v)).alias(v) for v in validators], "change")
+    return j.select(key, *[F.when(put, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in cols], *[F.when(~moved, F.col(v)).alias(v) for v in validators], initialized, "change")
 
 
 def upsert_outputs(stored: DataFrame, given: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -93,6 +101,7 @@ def stalled(attempts: DataFrame, jobs: DataFrame, before: Column) -> DataFrame:
 
 
 def clear_after_success(holds: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Holds that a success on the same keys does not clear: ambiguous ones stay."""
-    ok = done.select(*keys).distinct().withColumn("_ok", F.lit(True))
-    return holds.join(ok, keys, "left").where(F.col("_ok").isNull() | (F.col("hold_class") == "ambiguous")).drop("_ok")
+    """Holds (keys, hold_class, legacy_pair) that no success (keys, task, fields) on the same keys settles; see settled_by_success()."""
+    ways = done.groupBy(*keys).agg(F.collect_set(F.struct("task", F.array_sort(F.array_distinct("fields")).alias("fields"))).alias("_ways"))  # tasks and sets of fields are few
+    settled = F.exists(F.coalesce("_ways", F.array().cast(ways.schema["_ways"].dataType)), lambda w: settled_by_success(F.col("hold_class"), w["task"], w["fields"], F.col("legacy_pair")))
+    return holds.join(ways, keys, "left").where(~settled).drop("_ways")

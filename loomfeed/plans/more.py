@@ -24,37 +24,59 @@ def _attempts(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), _state().alias("state"), (F.col("event_id") % 50).alias("input"), (F.col("event_id") % 30).alias("output"), (F.col("event_type") == "purchase").alias("paid"), _ts("ts").alias("started"))
 
 
-@query("SELECT o_custkey, o_orderpriority, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS modified FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2")
+@query("""WITH e AS (SELECT o_custkey, o_orderpriority, arg_max(CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END, o_orderkey) AS m FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2),
+s AS (SELECT o_custkey, o_orderpriority, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT o_custkey, o_orderpriority, coalesce(e.m, s.m) AS modified FROM s FULL JOIN e USING (o_custkey, o_orderpriority)""")
 def mark_seen_state(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", _text("o_orderdate").alias("modified"))
+    """Filled orders were seen; of the others the last one of a key gives its date, partly filled ones none."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", "o_orderkey", _text("o_orderdate").alias("modified"))
     seen = o.where("o_orderstatus = 'F'").groupBy("o_custkey", "o_orderpriority").agg(F.max("modified").alias("modified"))
-    newer = o.where("o_orderstatus IN ('F', 'O')")
-    return transitions.mark_seen(seen, o.limit(0), newer, ["o_custkey", "o_orderpriority"], "modified")[0]
+    entries = o.where("o_orderstatus <> 'F'").withColumn("modified", F.when(F.col("o_orderstatus") != "P", F.col("modified")))
+    return transitions.mark_seen(seen, o.limit(0), entries, ["o_custkey", "o_orderpriority"], "modified", "o_orderkey")[0]
 
 
 @query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders p WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_orderstatus <> 'P' AND e.o_custkey = p.o_custkey AND e.o_orderpriority = p.o_orderpriority)")
 def mark_seen_pending(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", F.lit("").alias("modified"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", "o_orderkey", F.lit("").alias("modified"))
     pending = o.where("o_orderstatus = 'P'").select("o_custkey", "o_orderpriority").distinct()
     keys = ["o_custkey", "o_orderpriority"]
-    return transitions.mark_seen(o.limit(0).select(*keys, "modified"), pending, o.where("o_orderstatus <> 'P'"), keys, "modified")[1]
+    return transitions.mark_seen(o.limit(0).select(*keys, "modified"), pending, o.where("o_orderstatus <> 'P'"), keys, "modified", "o_orderkey")[1]
 
 
-@query(f"WITH e AS (SELECT user_id, ts, event_id, {_OUT} AS o FROM events), k AS (SELECT user_id, max(event_id) FILTER (o <> 'failure') AS ok, arg_max(o, event_id) AS last, max(event_id) AS at FROM e GROUP BY 1) SELECT k.user_id, k.at AS checked_at, k.ok AS ok_at, CAST(count(*) FILTER (o = 'failure' AND (k.ok IS NULL OR event_id > k.ok)) + CASE WHEN k.ok IS NULL THEN 2 ELSE 0 END AS BIGINT) AS failures, CASE WHEN k.last = 'failure' THEN 'e' || k.at END AS error FROM k JOIN e USING (user_id) GROUP BY k.user_id, k.at, k.ok, k.last")
+@query(f"""WITH e AS (SELECT user_id, ts, event_id, {_OUT} AS o FROM events), k AS (SELECT user_id, max(event_id) FILTER (o <> 'failure') AS ok, arg_max(o, event_id) AS last, max(event_id) AS at FROM e GROUP BY 1),
+r AS (SELECT k.user_id, k.at AS checked_at, k.ok AS ok_at, k.last, count(*) FILTER (o = 'failure' AND (k.ok IS NULL OR event_id > k.ok)) AS n FROM k JOIN e USING (user_id) GROUP BY k.user_id, k.at, k.ok, k.last)
+SELECT coalesce(user_id, s_suppkey) AS user_id, checked_at, coalesce(ok_at, s_nationkey) AS ok_at, CAST(CASE WHEN user_id IS NULL THEN 2 WHEN ok_at IS NULL THEN n + CASE WHEN s_suppkey IS NULL THEN 0 ELSE 2 END ELSE n END AS BIGINT) AS failures, CASE WHEN user_id IS NULL THEN 'old' WHEN last = 'failure' THEN 'e' || checked_at END AS error FROM r FULL JOIN supplier ON user_id = s_suppkey""")
 def record_checks(spark, d):
+    """Suppliers have a state from before; runs come for users, with a state or without."""
     e = table(spark, d, "events")
     out = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "unchanged").otherwise("ok")
     runs = e.select("user_id", F.col("event_id").alias("at"), out.alias("outcome"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error"))
-    state = e.select("user_id").distinct().select("user_id", F.lit(None).cast("long").alias("checked_at"), F.lit(None).cast("long").alias("ok_at"), F.lit(2).cast("long").alias("failures"), F.lit("old").alias("error"))
+    state = table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.lit(None).cast("long").alias("checked_at"), F.col("s_nationkey").cast("long").alias("ok_at"), F.lit(2).cast("long").alias("failures"), F.lit("old").alias("error"))
     return transitions.record_checks(state, runs, "user_id")
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'conflict' WHEN s_acctbal < 5000 THEN 'updated' ELSE 'kept' END AS change, CASE WHEN s_acctbal >= 0 AND s_acctbal < 5000 THEN s_name || '/new' ELSE s_name END AS url, CASE WHEN s_acctbal >= 0 AND s_acctbal < 5000 THEN NULL ELSE 'tag' END AS etag FROM supplier")
-def sync_source_configs(spark, d):
+def _sources(spark, d, initialized):
     s = table(spark, d, "supplier")
-    stored = s.select("s_suppkey", F.col("s_nationkey").alias("kind"), F.col("s_name").alias("url"), F.lit("tag").alias("etag"))
-    new = s.select("s_suppkey", F.when(F.col("s_acctbal") < 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")).alias("kind"), F.when(F.col("s_acctbal") < 5000, F.concat("s_name", F.lit("/new"))).otherwise(F.col("s_name")).alias("url"))
-    return transitions.sync_configs(stored, new, "s_suppkey", ["kind"], ["url"], "url", ["etag"]).select("s_suppkey", "change", "url", "etag")
+    stored = s.select("s_suppkey", F.col("s_nationkey").alias("kind"), F.col("s_name").alias("url"), F.lit("name").alias("name"), F.lit("tag").alias("etag"), initialized.alias("since"))
+    kind = F.when(F.col("s_acctbal") < 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey"))
+    url = F.when(F.col("s_acctbal") < 5000, F.concat("s_name", F.lit("/new"))).otherwise(F.col("s_name"))
+    new = s.select("s_suppkey", kind.alias("kind"), url.alias("url"), F.when(F.col("s_acctbal") > 8000, "other").otherwise("name").alias("name"))
+    more = s.select((-1 - F.col("s_suppkey")).alias("s_suppkey"), F.lit(0).cast(new.schema["kind"].dataType).alias("kind"), F.lit("u").alias("url"), F.lit("n").alias("name"))
+    return transitions.sync_configs(stored, new.unionByName(more), "s_suppkey", ["kind", "url"], ["name"], "url", ["etag"], "since").select("s_suppkey", "change", "kind", "url", "name", "etag")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 5000 OR s_acctbal > 8000 THEN 'updated' ELSE 'kept' END AS change, CASE WHEN s_acctbal < 0 THEN s_nationkey + 1 ELSE s_nationkey END AS kind, CASE WHEN s_acctbal < 5000 THEN s_name || '/new' ELSE s_name END AS url, CASE WHEN s_acctbal > 8000 THEN 'other' ELSE 'name' END AS name, CASE WHEN s_acctbal >= 5000 THEN 'tag' END AS etag FROM supplier
+UNION ALL SELECT -1 - s_suppkey, 'inserted', 0, 'u', 'n', NULL FROM supplier""")
+def sync_source_configs(spark, d):
+    """Sources that have not begun may move; others change their name only."""
+    return _sources(spark, d, F.when(F.col("s_acctbal") >= 5000, "2024"))
+
+
+@query("""WITH c AS (SELECT *, s_acctbal > 1000 AND s_acctbal < 5000 AS clash, s_acctbal < 5000 OR s_acctbal > 8000 AS moves FROM supplier), a AS (SELECT coalesce(bool_or(clash), false) AS bad FROM c)
+SELECT s_suppkey, CASE WHEN clash THEN 'conflict' WHEN moves AND bad THEN 'refused' WHEN moves THEN 'updated' ELSE 'kept' END AS change, s_nationkey AS kind, s_name AS url, 'name' AS name, 'tag' AS etag FROM c, a""")
+def sync_refused(spark, d):
+    """A source that has begun would move: the whole configuration is refused."""
+    return _sources(spark, d, F.when(F.col("s_acctbal") > 1000, "2024"))
 
 
 @query("SELECT c_custkey, 'zh' AS lang, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_name ELSE 'old' END AS title, CASE WHEN c_mktsegment = 'BUILDING' THEN 'updated' WHEN c_mktsegment = 'MACHINERY' THEN 'inserted' ELSE 'kept' END AS change FROM customer")
@@ -105,11 +127,20 @@ def stalled_attempts(spark, d):
     return transitions.stalled(_attempts(spark, d), jobs, F.lit("2024-01-15").cast("timestamp")).select("id")
 
 
-@query("SELECT event_id FROM events h WHERE event_type IN ('error', 'signup') AND (event_type = 'error' OR NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'purchase' AND s.user_id = h.user_id))")
+_SETTLES = "EXISTS (SELECT 1 FROM e s WHERE s.user_id = h.user_id AND s.day = h.day AND {})"
+
+
+@query(f"""WITH e AS (SELECT *, date_trunc('day', ts) AS day FROM events)
+SELECT event_id FROM e h WHERE event_type IN ('error', 'signup', 'view') AND NOT CASE WHEN event_id % 4 = 0 THEN {_SETTLES.format("s.event_type = 'purchase' AND s.event_id % 3 > 0")}
+  WHEN event_type = 'error' THEN {_SETTLES.format("s.event_type = 'purchase'")} ELSE {_SETTLES.format("s.event_type IN ('purchase', 'click')")} END""")
 def holds_after_success(spark, d):
-    e = table(spark, d, "events")
-    holds = e.where("event_type IN ('error', 'signup')").select("event_id", "user_id", F.when(F.col("event_type") == "error", "ambiguous").otherwise("paid_failure").alias("hold_class"))
-    return transitions.clear_after_success(holds, e.where("event_type = 'purchase'"), ["user_id"]).select("event_id")
+    """A user's holds of a day after that day's successes: summaries, and translations of one field or both."""
+    e = table(spark, d, "events").withColumn("day", F.date_trunc("day", _ts("ts")))
+    t = F.col("event_type")
+    holds = e.where(t.isin("error", "signup", "view")).select("event_id", "user_id", "day", F.when(t == "error", "ambiguous").when(t == "signup", "paid_failure").otherwise("fallback_pending").alias("hold_class"), (F.col("event_id") % 4 == 0).alias("legacy_pair"))
+    fields = F.when(t == "click", F.array().cast("array<string>")).when(F.col("event_id") % 3 > 0, F.array(F.lit("title"), F.lit("publisher_summary"))).otherwise(F.array(F.lit("title")))
+    done = e.where(t.isin("purchase", "click")).select("user_id", "day", F.when(t == "click", "summary").otherwise("translation").alias("task"), fields.alias("fields"))
+    return transitions.clear_after_success(holds, done, ["user_id", "day"]).select("event_id")
 
 
 @query(f"SELECT count(*) AS attempts, count(*) FILTER (s = 'succeeded') AS succeeded, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'ambiguous') AS ambiguous, count(*) FILTER (s = 'sent') AS open, count(*) FILTER (s = 'succeeded') AS paid, CAST(sum(event_id % 50) AS BIGINT) AS input, CAST(sum(event_id % 30) AS BIGINT) AS output, CAST(sum(event_id % 50 + event_id % 30) AS BIGINT) AS total, max(event_id) AS last_id FROM (SELECT *, {_STATE} AS s FROM events) e WHERE event_id > 100")
@@ -175,27 +206,47 @@ def list_page(spark, d):
     return rollups.page(table(spark, d, "orders"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 100, 50).select("o_orderkey")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN NULL WHEN page_id % 4 = 2 THEN url || '%20x' ELSE url END AS safe FROM pages")
+@query("SELECT page_id, CASE page_id % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN url || '%20x' WHEN 3 THEN url || chr(39) || '%C3%A9%5E~' WHEN 4 THEN '' WHEN 5 THEN regexp_replace(url, '://', '://:@') WHEN 6 THEN url || '%zz%7C%E6%97%A5+*' ELSE url END AS safe FROM pages")
 def safe_urls(spark, d):
-    u, k = F.col("url"), F.col("page_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit("ftp:"), u)).when(k == 1, F.regexp_replace(u, "://", "://user@")).when(k == 2, F.concat(u, F.lit(" x"))).otherwise(u)
+    u, k = F.col("url"), F.col("page_id") % 8
+    raw = F.when(k == 0, F.concat(F.lit("ftp:"), u)).when(k == 1, F.regexp_replace(u, "://", "://user@")).when(k == 2, F.concat(F.lit(" "), u, F.lit(" x\u3000"))).when(k == 3, F.concat(u, F.lit("'é^~"))).when(k == 4, F.concat(u, F.lit("\x85x"))).when(k == 5, F.regexp_replace(u, "://", "://:@")).when(k == 6, F.concat(u, F.lit("%zz|日+*"))).otherwise(u)
     return table(spark, d, "pages").select("page_id", G.safe_http_url(raw).alias("safe"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 1 OR NOT regexp_matches(url, '^https?://[^/?#]') THEN NULL ELSE regexp_replace(split_part(url, '#', 1), '^(https?://[^/?]+)($|[?])', '\\1/\\2') END AS fetch FROM pages")
+_FETCHED = r"regexp_replace(split_part({}, '#', 1), '^(https?://[^/?]+)($|[?])', '\\1/\\2')"
+
+
+@query(f"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://[^/?#]') THEN NULL ELSE CASE page_id % 8 WHEN 1 THEN NULL WHEN 4 THEN regexp_replace({_FETCHED.format('url')}, '^(https?://)[^/?]+', '\\1xn--bcher-kva.example') WHEN 5 THEN regexp_replace({_FETCHED.format('url')}, '^(https?://)[^/?]+', '\\1[2001:db8::1]') WHEN 6 THEN NULL ELSE {_FETCHED.format('url')} END END AS fetch FROM pages""")
 def fetch_urls(spark, d):
-    k = F.col("page_id") % 3
-    port = F.when(k == 1, ":8080").when(F.col("url").startswith("https"), ":443").otherwise(":80")
-    raw = F.when(k == 2, F.col("url")).otherwise(F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), port, F.regexp_replace("url", "^[a-z]+://[^/]+", "")))
+    u, k = F.col("url"), F.col("page_id") % 8
+    host = lambda h: F.regexp_replace(u, "^([a-z]+://)[^/?#]+", h)
+    port = lambda p: F.regexp_replace(u, "^([a-z]+://[^/?#]+)", f"$1{p}")
+    usual = F.when(u.startswith("https"), port(":443")).otherwise(port(":80"))
+    raw = F.when(k == 0, usual).when(k == 1, port(":8080")).when(k == 3, port(".:0")).when(k == 4, host("$1B\u00fccher.Example.")).when(k == 5, host("$1[2001:DB8:0:0::1]")).when(k == 6, F.regexp_replace(u, "://", "://@")).otherwise(u)
     return table(spark, d, "pages").select("page_id", G.fetch_url(raw).alias("fetch"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN contains(url, '.example.com/en/') AND regexp_matches(url, '/en/.+') ELSE contains(url, '.example.com') END AS allowed FROM pages")
+@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 10 = 4 THEN false WHEN page_id % 10 = 6 THEN false WHEN page_id % 10 = 8 THEN true ELSE regexp_matches(host, 'example\.com$') AND regexp_matches(path, '^/+en/+[^/]+/*$') END ELSE regexp_matches(host, 'example\.com$') END AS allowed FROM p""")
 def import_allowed(spark, d):
-    p = table(spark, d, "pages").withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
-    prefix = F.when(F.col("page_id") % 2 == 0, F.concat(F.regexp_extract("url", r"^[a-z]+://", 0), F.regexp_replace("host", r"example\.(net|org)$", "example.com"), F.lit("/en")))
-    hosts = F.regexp_extract("host", r"example\.com$", 0)
-    return p.select("page_id", F.when(prefix.isNotNull(), G.import_allowed(F.col("url"), prefix, [])).otherwise(hosts != "").alias("allowed"))
+    """Even pages are of sources with a section, some of them at its tags, deeper or escaped; odd ones of sources with hosts."""
+    p = table(spark, d, "pages")
+    k, host = F.col("page_id") % 10, F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), r"^www\.", "")
+    own = F.concat(F.lit("https://WWW."), host)
+    url = F.when(k == 4, F.concat(own, F.lit("/en/Tag"))).when(k == 6, F.concat(own, F.lit("/en/a/b"))).when(k == 8, F.concat(own, F.lit("/%65n/a%20b/?x#y"))).otherwise(F.col("url"))
+    section = F.when(k.isin(4, 6, 8), F.concat(own, F.lit("/en"))).otherwise(F.concat(F.lit("http://"), F.regexp_replace(host, r"example\.(net|org)$", "example.com"), F.lit("/en/")))
+    hosts = F.when(host.rlike(r"example\.com$"), F.array(F.concat(F.lit("www."), host))).otherwise(F.array(F.lit("example.com")))
+    return p.select("page_id", G.import_allowed(url, F.when(F.col("page_id") % 2 == 0, section), hosts).alias("allowed"))
+
+
+@query("SELECT event_id, CASE WHEN a = 0 OR a = 10 OR a = 127 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR a >= 240 OR (a = 198 AND b IN (18, 19)) THEN false ELSE true END AS public FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 256 WHEN 1 THEN 172 ELSE [100, 169, 192, 198, 8][(event_id // 3) % 5 + 1] END AS a, (event_id // 3) % 256 AS b FROM events)")
+def public_addresses(spark, d):
+    """Whether addresses are of the public internet, some of them written as IPv4 in IPv6."""
+    i = F.col("event_id")
+    third = F.floor(i / 3)
+    a = F.when(i % 3 == 0, i % 256).when(i % 3 == 1, 172).otherwise(F.element_at(F.array(*[F.lit(x) for x in (100, 169, 192, 198, 8)]), (third % 5 + 1).cast("int")))
+    plain = F.concat_ws(".", a.cast("string"), (third % 256).cast("string"), F.lit("77"), F.lit("9"))
+    return table(spark, d, "events").select("event_id", G.public_address(F.when(i % 7 == 0, F.concat(F.lit("::ffff:"), plain)).otherwise(plain)).alias("public"))
 
 
 @query("SELECT page_id, regexp_replace(url, '^(https?://[^/]+)/(fr|de|es)(/|$)', '\\1\\3') AS english FROM pages")
@@ -249,11 +300,23 @@ def holds_all_paid(spark, d):
     return e.select("user_id", G.all_paid(F.col("c")).alias("all_paid"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'policy' WHEN 'signup' THEN 'timeout' WHEN 'click' THEN 'finish_reason' WHEN 'purchase' THEN 'no_output' ELSE 'ok' END AS class FROM events")
+#: A usable answer, what is put in place of a part of it, and the code it then has.
+_ANSWER = '{"id":"r1","model":"m-1","object":"chat.completion","error":null,"choices":[{"index":0,"finish_reason":"stop","error":null,"message":{"role":"assistant","content":"yes","refusal":null,"tool_calls":[],"reasoning":" "}}],"usage":{"completion_tokens_details":{"reasoning_tokens":0}}}'
+_FAULTS = (
+    ("", "", "ok"), ('"r1"', '""', "response_id"), ('"m-1"', '"m-2"', "response_model"), ("chat.completion", "text", "response_object"), ('"index":0', '"index":1', "response_choice"), ('"stop"', '"length"', "finish_length"), ('"stop"', "null", "finish_reason"),
+    ('"assistant"', '"user"', "response_role"), ('"tool_calls":[]', '"tool_calls":[{"id":1}]', "tool_calls"), ('"stop","error":null,"message":{"role":"assistant","content":"yes","refusal":null', '"length","error":null,"message":{"role":"assistant","content":"yes","refusal":"no"', "refusal"), ('"refusal":null', '"refusal":{"x":1}', "refusal"), ('"reasoning":" "', '"reasoning":"hm"', "thinking_output"),
+    ('"reasoning_tokens":0', '"reasoning_tokens":3', "thinking_tokens"), ('"yes"', '" "', "no_output"), ('"yes"', '{"a":1}', "no_output"), ('"error":null,"choices"', '"error":{"code":1},"choices"', "provider_error"), ('"stop","error":null', '"error","error":{"metadata":{"error_type":"Rate_Limit_Exceeded"}}', "rate_limit_exceeded"), ('"stop","error":null', '"stop","error":{"metadata":{"error_type":"rate_limit_exceeded"}}', "provider_error"), ('"object"', '"id":"r2","object"', "response_json"), ('"message":{', '"other":{', "response_message"), ('"choices":[{', '"choices":[{},{', "response_choices"),
+)
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 50 = 49 AND event_id % {len(_FAULTS)} <> {[f[2] for f in _FAULTS].index('response_json')} THEN 'content_filter' ELSE {list(f[2] for f in _FAULTS)}[event_id % {len(_FAULTS)} + 1] END AS class FROM events")
 def response_classes(spark, d):
-    t = F.col("event_type")
-    text = F.when(t != "purchase", "answer")
-    return table(spark, d, "events").select("event_id", G.response_class(t == "error", F.when(t.isin("error", "signup"), "timeout"), F.lit(True), F.when(t == "click", "length").otherwise("stop"), F.lit(None).cast("string"), F.lit(""), text).alias("class"))
+    """Each event is an answer with one fault or none; some have met a policy."""
+    k = (F.col("event_id") % len(_FAULTS)).cast("int")
+    old, new = (F.element_at(F.array(*[F.lit(f[x]) for f in _FAULTS]), k + 1) for x in (0, 1))
+    answer = F.when(old == "", F.lit(_ANSWER)).otherwise(F.replace(F.lit(_ANSWER), old, new))
+    policy = F.when(F.col("event_id") % 50 == 49, "content_filter")
+    return table(spark, d, "events").select("event_id", G.completion_code(answer, policy, ["m-1"], ["rate_limit_exceeded", "provider_overloaded"]).alias("class"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(least(event_id * 40, 86400) AS BIGINT) END AS seconds, 'failed: Bearer ***' AS message FROM events")

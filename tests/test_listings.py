@@ -97,24 +97,29 @@ def _short(**change):
     return json.dumps({"summary": "s", "key_points": ["a"], "language": "en", "basis": "metadata", "limitations": ""} | change)
 
 
-def test_summaries():
-    assert A.check_output("summary", _short(), "en", "metadata")[1] == "s\n• a"
-    assert A.check_output("summary", _short(summary="é\x01 "), "en", "metadata")[0]["summary"] == "é"
-    for change in ({"basis": "full"}, {"key_points": ["a"] * 7}, {"key_points": [""]}, {"summary": 1}, {"summary": "x" * 2401}, {"language": "zh-CN"}, {"more": 1}):
-        with pytest.raises(A.Broken):
-            A.check_output("summary", _short(**change), "en", "metadata")
-    for text in (None, "", "[]", "{"):
-        with pytest.raises(A.Broken):
-            A.check_output("summary", text, "en", "metadata")
-
-
-def test_translations_of_some_fields():
+def _checked(spark, task, texts, language="en", **options):
+    """(error, readable) of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", A.checked_output(F.lit(task), F.col("t"), F.lit(language), **options).alias("r")).orderBy("i").collect()
+    return [(r.r.error, r.r.readable) for r in got]
+
+
+def test_summaries(spark):
+    good = [_short(), _short(summary=" e\u0301\x01 "), _short(key_points=[]), _short(key_points=[" a\n", "e\u0301\x02b"])]
+    assert _checked(spark, "summary", good) == [(None, "s\n• a"), (None, "é\n• a"), (None, "s"), (None, "s\n• a\n• éb")]
+    bad = {"another basis": {"basis": "full"}, "key_points is no list of at most six": {"key_points": ["a"] * 7}, "key_points is empty": {"key_points": [""]}, "key_points is no text": {"key_points": ["a", 1]}, "key_points is too long": {"key_points": ["x" * 601]}, "summary is no text": {"summary": 1}, "summary is too long": {"summary": "x" * 2401}, "another language": {"language": "zh-CN"}, "keys differ from the contract": {"more": 1}, "summary is empty": {"summary": " \n"}, "limitations is no text": {"limitations": None}}
+    assert _checked(spark, "summary", [_short(**c) for c in bad.values()]) == [(e, None) for e in bad]
+    assert _checked(spark, "summary", [_short(key_points="a")]) == [("key_points is no list of at most six", None)]
+    assert [e for e, _ in _checked(spark, "summary", [None, "", "[]", "{", '{"a": 1, "a": 2}'])] == ["no JSON", "no JSON", "keys differ from the contract", "no JSON", "no JSON"]
+    assert _checked(spark, "poem", [_short()]) == [("unknown task poem", None)]
+
+
+def test_translations_of_some_fields(spark):
     make = lambda **c: json.dumps({"title": "t", "publisher_summary": None, "language": "en", "limitations": ""} | c)
-    assert A.check_output("translation", make(), "en", "metadata", ("title",))[1] == "t"
-    assert A.check_output("translation", make(), "en", "metadata", empty_summary=True)[1] == "t\n\n"
-    for text, fields in ((make(), ("title", "publisher_summary")), (make(publisher_summary="x"), ("title",)), (make(title=""), ("title",))):
-        with pytest.raises(A.Broken):
-            A.check_output("translation", text, "en", "metadata", fields)
+    assert _checked(spark, "translation", [make()], fields=("title",)) == [(None, "t")]
+    assert _checked(spark, "translation", [make(), make(publisher_summary="x")], empty_summary=True) == [(None, "t\n\n"), (None, "t\n\nx")]
+    assert _checked(spark, "translation", [make(), make(publisher_summary="x")]) == [("publisher_summary is no text", None), (None, "t\n\nx")]
+    assert _checked(spark, "translation", [make(publisher_summary="x"), make(title="")], fields=("title",)) == [("publisher_summary was not asked for", None), ("title is empty", None)]
 
 
 def test_payload_corner_cases(spark):

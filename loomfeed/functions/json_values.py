@@ -104,6 +104,30 @@ def replaced(column: Column, key: str, by: Column) -> Column:
     return F.arrow_udf(run, "string")(column, by)
 
 
+def portable(column: Column, key: str, name: str, identities: Column) -> Column:
+    """Canonical JSON in which local ids give way to identities: every object, at any depth, loses its member `key` and, where that is a whole number, gets `name` with the identity (JSON text) that the map column has for it. Null if one has none."""
+
+    def run(texts: pa.Array, maps: pa.Array) -> pa.Array:
+        def put(value, known: dict):
+            if isinstance(value, dict):
+                out = {k: put(v, known) for k, v in value.items() if k != key}
+                if isinstance(i := value.get(key), int) and not isinstance(i, bool):
+                    out[name] = known[i]
+                return out
+            return [put(v, known) for v in value] if isinstance(value, list) else value
+
+        out = []
+        for t, m in zip(texts.to_pylist(), maps.to_pylist(), strict=True):
+            got = parse_strict(t) if t is not None else None
+            try:
+                out.append(canonical(put(got[0], {k: parse_strict(v)[0] for k, v in m or []})) if got else None)
+            except (KeyError, TypeError):  # an id or identity that is not known
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(column, identities)
+
+
 def without_own_hash(column: Column, field: str) -> Column:
     """sha256 of the canonical JSON of an object without its member `field`, as bundles hash themselves; null for other values."""
 

@@ -56,13 +56,14 @@ def settled_holds(spark, d):
     return table(spark, d, "events").select("event_id", A.settled_by_success(hold, task, fields, t == "view").alias("settled"))
 
 
-@query("SELECT user_id, bool_or(event_type = 'signup') AND bool_and(event_type IN ('signup', 'click')) AS retry, NOT bool_or(event_type = 'error') AND (count(*) FILTER (event_type = 'purchase') = 0 OR count(*) FILTER (event_type = 'signup') > 0) AS settle FROM events WHERE event_type <> 'view' GROUP BY 1")
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_or(event_type = 'signup') AND bool_and(event_type IN ('signup', 'click', 'view')) AS retry, NOT bool_or(event_type = 'error') AND (count(*) FILTER (event_type = 'purchase') = 0 OR count(*) FILTER (event_type = 'signup') > 0) AS settle FROM events GROUP BY 1, 2")
 def hold_permissions(spark, d):
+    """What the holds of each user and day allow; purchases are holds of another class."""
     t = F.col("event_type")
-    kind = F.when(t == "signup", "paid_failure").when(t == "click", "fallback_pending").when(t == "error", "ambiguous").otherwise("other")
-    g = table(spark, d, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.collect_set(kind).alias("c"))
+    kind = F.when(t == "signup", "paid_failure").when(t.isin("click", "view"), "fallback_pending").when(t == "error", "ambiguous").otherwise("other")
+    g = table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set(kind).alias("c"))  # four classes
     exact = F.when(F.array_contains("c", "other"), F.when(F.array_contains("c", "paid_failure"), "paid_failure").otherwise("fallback_pending"))
-    return g.select("user_id", A.paid_retry_authorized(F.col("c")).alias("retry"), A.may_settle(exact, F.col("c"), F.lit(True)).alias("settle"))
+    return g.select("user_id", "day", A.paid_retry_authorized(F.col("c")).alias("retry"), A.may_settle(exact, F.col("c"), F.lit(True)).alias("settle"))
 
 
 @query("SELECT o_orderkey, c_custkey AS article_id, CASE WHEN c_custkey IS NULL THEN 'unresolved' WHEN o_orderstatus = 'P' THEN 'untranslated' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'collision' WHEN o_orderstatus = 'F' THEN 'present' ELSE 'insert' END AS outcome FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey")
@@ -108,7 +109,8 @@ def checked_outputs(spark, d):
     return c.select("c_custkey", "r.error", "r.readable")
 
 
-_URL = "'https://x.org/' || CASE WHEN page_id % 5 = 2 THEN 'news' ELSE 'blog' END || '/p' || page_id"
+# listings of items link to www.x.org, the others to where they are; a link keeps its host
+_URL = "'https://' || CASE WHEN page_id % 5 = 1 THEN 'www.' ELSE '' END || 'x.org/' || CASE WHEN page_id % 5 = 2 THEN 'news' ELSE 'blog' END || '/p' || page_id"
 
 
 @query(f"SELECT page_id, CASE page_id % 5 WHEN 4 THEN 'list_items found no articles' END AS error, CASE WHEN page_id % 5 < 4 THEN {_URL} END AS url, CASE WHEN page_id % 5 < 4 THEN 'Title ' || page_id END AS title, CASE WHEN page_id % 5 < 4 THEN 'About it.' END AS summary, CASE WHEN page_id % 5 < 4 THEN 'Kind' END AS category, CASE WHEN page_id % 5 < 4 THEN '2024-03-05T00:00:00Z' END AS published_at, CASE WHEN page_id % 5 < 4 THEN sha256({_URL} || chr(31) || 'Title ' || page_id || chr(31) || 'About it.' || chr(31) || chr(31) || 'Kind' || chr(31) || '2024-03-05T00:00:00Z' || chr(31)) END AS content_hash FROM pages")
@@ -120,8 +122,7 @@ def listing_entries(spark, d):
     rows = F.concat(F.lit('<a class="blog-directory__row" href="/cn/blog/P'), i, F.lit('"><p class="type-md"></p><p class="type-md-lg">Title '), i, F.lit('</p><p class="text-theme-text-sec">About it.</p><span>Mar 5</span><span>4 min read</span><span>Kind</span><time datetime="2024-03-05T00:00:00Z"></time></a>'))
     p = table(spark, d, "pages").select("page_id", F.when(k == 0, cards).when(k == 2, grid).when(k == 3, rows).when(k == 1, items).otherwise("<a href='/blog/x'>no entry</a>").alias("body"), F.when(k == 0, "cards").when(k == 2, "grid").when(k == 3, "directory").otherwise("list_items").alias("adapter"), F.lit("x").alias("slug"), F.lit("https://x.org/").alias("home"), F.lit("").alias("fetch"))
     out = listings.listing_rows(p, "body", "adapter", "slug", "home", "fetch", ["page_id"])
-    # x.org and www.x.org are one publisher; the URL keeps the host that the page gives
-    return out.select("page_id", "error", F.replace("url", F.lit("www."), F.lit("")).alias("url"), "title", "summary", "category", "published_at", F.when(~F.col("url").contains("www."), F.col("content_hash")).otherwise(F.when(F.col("url").isNotNull(), F.sha2(F.concat_ws("\u001f", F.replace("url", F.lit("www."), F.lit("")), "title", "summary", "author", "category", "published_at", F.lit("")), 256))).alias("content_hash"))
+    return out.select("page_id", "error", "url", "title", "summary", "category", "published_at", "content_hash")
 
 
 @query("SELECT CAST(greatest((SELECT max(o_orderkey) FROM orders), (SELECT max(event_id) FROM events)) + 1 AS BIGINT) AS revision")
@@ -134,6 +135,33 @@ def status_lines(spark, d):
     return cache.status_json(table(spark, d, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")), ["n_name"])
 
 
-@query()
+# The columns of the given tables.
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+}
+
+
+def _profile_sql() -> str:
+    out = []
+    for name, columns in _COLUMNS.items():
+        for i, (c, kind) in enumerate(x.split(" ") for x in columns.split(", ")):
+            out.append(f"SELECT '{name}' AS name, {i} AS position, '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {name}")
+    return " UNION ALL ".join(out)
+
+
+@query(_profile_sql())
 def table_columns(spark, d):
-    return cache.described({n: table(spark, d, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")})
+    """The columns of the tables with the numbers of their rows and nulls."""
+    return cache.profiled({n: table(spark, d, n) for n in _COLUMNS}).drop("nullable")

@@ -400,32 +400,46 @@ def parse_markdown_rows(spark, d):
 # --- state -------------------------------------------------------------------------------------
 
 
-@query("""WITH s AS (SELECT event_type, user_id, max(CASE WHEN value > 20 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '' END) AS modified FROM events WHERE ts < TIMESTAMP '2024-01-11' AND event_type <> 'view' AND user_id % 2 = 0 GROUP BY 1, 2),
-e AS (SELECT event_type, user_id, max(CASE WHEN value > 20 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '' END) AS modified FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1, 2)
-SELECT e.event_type, e.user_id, CASE WHEN e.event_type NOT IN (SELECT event_type FROM s) THEN 'baseline' WHEN s.user_id IS NULL THEN 'new' WHEN s.modified <> '' AND e.modified <> '' AND s.modified <> e.modified THEN 'modified' ELSE 'same' END AS change FROM e LEFT JOIN s USING (event_type, user_id)""")
+@query("""WITH s AS (SELECT user_id, event_type, max(CASE WHEN value > 20 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '' END) AS modified FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2),
+e AS (SELECT user_id, event_type, max(CASE WHEN value > 20 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '' END) AS modified FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY 1, 2)
+SELECT e.user_id, e.event_type, CASE WHEN e.user_id NOT IN (SELECT user_id FROM s) THEN 'baseline' WHEN s.user_id IS NULL THEN 'new' WHEN s.modified <> '' AND e.modified <> '' AND s.modified <> e.modified THEN 'modified' ELSE 'same' END AS change FROM e LEFT JOIN s USING (user_id, event_type)""")
 def seen_diff(spark, d):
+    """Users are sources: what the first two days of events have shown of them against all later ones."""
     # a cast to an integer cuts here and rounds half to even in the twin
     e = table(spark, d, "events").withColumn("modified", F.when(F.col("value") > 20, F.bround("value").cast("long").cast("string")).otherwise(""))
-    fold = lambda x: x.groupBy("event_type", "user_id").agg(F.max("modified").alias("modified"))
-    early = F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")
-    seen = fold(e.where(early & (F.col("event_type") != "view") & (F.col("user_id") % 2 == 0)))
-    return joins.seen_diff(fold(e.where(~early)), seen, ["event_type", "user_id"], "modified").select("event_type", "user_id", "change")
+    fold = lambda x: x.groupBy("user_id", "event_type").agg(F.max("modified").alias("modified"))
+    early = F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")
+    return joins.seen_diff(fold(e.where(~early)), fold(e.where(early)), ["user_id", "event_type"], "modified").select("user_id", "event_type", "change")
 
 
 def _merged(spark, d):
+    """A store with the first filled order of each key of a source, but for sources that begin now, and all other orders as the batch."""
     o = table(spark, d, "orders")
-    row = lambda x: x.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("source"), (F.col("o_orderkey") % 40).cast("string").alias("ext"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderpriority").alias("title"))
-    stored = row(o.where("o_orderkey % 7 < 3 AND o_custkey % 50 < 40")).withColumn("seen", F.lit(False)).dropDuplicates(["source", "ext"])
-    batch = row(o.where("o_orderkey % 7 >= 2 OR o_custkey % 50 >= 40")).withColumnRenamed("id", "pos")
+    rows = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("source"), (F.col("o_orderkey") % 40).cast("string").alias("ext"), F.floor(F.col("o_orderkey") / 3).cast("string").alias("url"), F.col("o_orderpriority").alias("title"), "o_orderstatus")
+    first = rows.where("o_orderstatus = 'F' AND source < 40").groupBy("source", "ext").agg(F.min("id").alias("id"))
+    first = first.join(rows.drop("ext"), ["source", "id"]).groupBy("source", "url").agg(F.min("id").alias("id"))
+    stored = rows.join(first.select("id"), "id", "left_semi").drop("o_orderstatus").withColumn("seen", F.lit(False))
+    batch = rows.join(first.select("id"), "id", "left_anti").drop("o_orderstatus").withColumnRenamed("id", "pos")
     return state.merge_by_either_key(stored, batch, "source", "ext", "url", ["title"], "pos")
 
 
-@query()
+_MERGE = """WITH r AS (SELECT o_orderkey AS id, o_custkey % 50 AS source, CAST(o_orderkey % 40 AS VARCHAR) AS ext, CAST(o_orderkey // 3 AS VARCHAR) AS url, o_orderpriority AS title, o_orderstatus AS st FROM orders),
+f AS (SELECT * FROM r WHERE st = 'F' AND source < 40 QUALIFY row_number() OVER (PARTITION BY source, ext ORDER BY id) = 1), s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source, url ORDER BY id) = 1),
+b1 AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM s) QUALIFY row_number() OVER (PARTITION BY source, ext ORDER BY id DESC) = 1), b AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY source, url ORDER BY id DESC) = 1),
+m AS (SELECT b.*, (SELECT min(s.id) FROM s WHERE s.source = b.source AND (s.ext = b.ext OR s.url = b.url)) AS own FROM b), hit AS (SELECT * FROM m WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY own ORDER BY id DESC) = 1),
+x AS (SELECT s.id, s.source, CASE WHEN d THEN hit.ext ELSE s.ext END AS ext, CASE WHEN d THEN hit.url ELSE s.url END AS url, CASE WHEN d THEN hit.title ELSE s.title END AS title, false AS seen, CASE WHEN d THEN 'updated' ELSE 'kept' END AS change FROM (SELECT s.id AS sid, hit.own IS NOT NULL AND (hit.ext <> s.ext OR hit.url <> s.url OR hit.title <> s.title) AS d FROM s LEFT JOIN hit ON hit.own = s.id) z JOIN s ON s.id = sid LEFT JOIN hit ON hit.own = s.id
+  UNION ALL SELECT NULL, source, ext, url, title, source NOT IN (SELECT source FROM s), CASE WHEN source IN (SELECT source FROM s) THEN 'inserted' ELSE 'baseline' END FROM m WHERE own IS NULL)
+"""
+
+
+@query(_MERGE + "SELECT * FROM x")
 def merge_upsert(spark, d):
-    return _merged(spark, d)
+    """The merged store; the numbers of new rows are any that follow, so they are not shown."""
+    out = _merged(spark, d)
+    return out.select(F.when(F.col("change").isin("kept", "updated"), F.col("id")).alias("id"), "source", "ext", "url", "title", "seen", "change")
 
 
-@query()
+@query(_MERGE + "SELECT source, count(*) FILTER (change = 'inserted') AS n_inserted, count(*) FILTER (change = 'updated') AS n_updated, count(*) FILTER (change = 'baseline') AS n_baseline, count(*) FILTER (change = 'kept') AS n_kept FROM x GROUP BY 1")
 def merge_counters(spark, d):
     return state.merge_counts(_merged(spark, d), "source")
 

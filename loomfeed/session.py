@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +34,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scopes: list[str] = []
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one temporary folder only where it is unset."""
+    global _own
+    if path := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    _own = _own or tempfile.mkdtemp(prefix="loomfeed-")
+    return _own
+
+
+_own: str | None = None
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomfeed-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table, in the innermost intermediates() if there is one."""
+    return f"{_scopes[-1] if _scopes else _base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of what runs inside, deleted at the end; results must have been read or written by then."""
+    _scopes.append(fresh_path(spark, "run"))
+    try:
+        yield _scopes[-1]
+    finally:
+        fs, p = hadoop_path(spark, _scopes.pop())
+        fs.delete(p, True)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:

@@ -578,6 +578,7 @@ def fit_payloads(spark, d):
 from . import digests as _digests  # noqa: E402, F401  registers its queries
 from . import exchange as _exchange  # noqa: E402, F401  registers its queries
 from . import extensions as _extensions  # noqa: E402, F401  registers its queries
+from . import fetches as _fetches  # noqa: E402, F401  registers its queries
 from . import further as _further  # noqa: E402, F401  registers its queries
 from . import more as _more  # noqa: E402, F401  registers its queries
 from . import ordered as _ordered  # noqa: E402, F401  registers its queries

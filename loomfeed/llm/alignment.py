@@ -26,7 +26,7 @@ from .common import materialise, trim
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Documents of a block, so that one byte names a document; bits of a part's occurrences in a document.
+#: Documents of a block, so that one byte names a document; most bits of a part's occurrences in a document.
 DOCS, MANY = 256, 24
 
 _pairs: dict = {}
@@ -78,6 +78,7 @@ class Pair:
         sample = "a ﬁ①Å b\tc\nd"
         self.split = cut and not any(bar in sp.id_to_piece(i).lstrip(bar) for i in range(self.n_b)) and sp.normalize(sample) == bar + sample.replace(" ", bar)
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.code = np.dtype(np.uint32 if self.n_a * self.n_b < 1 << 32 else np.int64)
         self.str_a, self.str_b = list(map(str, range(self.n_a))), list(map(str, range(self.n_b)))
         self.known: dict[str, tuple | None] = {}
 
@@ -100,7 +101,7 @@ class Pair:
         b = np.fromiter((i for k in good for i in ids_b[k]), np.int64, int(count_b.sum()))
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         lo, hi = np.searchsorted(end_b, end_a - self.len_a[a], side="right"), np.searchsorted(end_b - self.len_b[b], end_a, side="left")
-        links = (np.repeat(a, hi - lo) * self.n_b + b[_joined_ranges(lo, hi - lo)]).astype(np.uint32)
+        links = (np.repeat(a, hi - lo) * self.n_b + b[_joined_ranges(lo, hi - lo)]).astype(self.code)
         # tokens after which a group ends, by side, and the bounds of texts among tokens, groups and links
         cut_a = np.flatnonzero(end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a) + 1
         cut_b = np.searchsorted(end_b, end_a[cut_a - 1]) + 1
@@ -148,7 +149,7 @@ def _block(texts: list[str], pair: Pair, stripes: int) -> tuple[list[np.ndarray]
     for k in whole:
         rows[k] = np.array([len(entries)])
         entries += pair.align([texts[k]]) if texts[k] else [None]
-    size = np.array([(e[0], e[1], e[2], len(e[3]) // 4) if e else (0, 0, 0, 0) for e in entries], np.int64).reshape(-1, 4)
+    size = np.array([(e[0], e[1], e[2], len(e[3]) // pair.code.itemsize) if e else (0, 0, 0, 0) for e in entries], np.int64).reshape(-1, 4)
     bad = np.array([e is None for e in entries], bool)
     rows = [r if not bad[r].any() else r[:0] for r in rows]
     place, part = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
@@ -158,24 +159,25 @@ def _block(texts: list[str], pair: Pair, stripes: int) -> tuple[list[np.ndarray]
     said = [e[4] if e else "" for e in entries]
     digests = [hashlib.sha256(";".join(map(said.__getitem__, r.tolist())).encode()).hexdigest() if len(r) else "" for r in rows]
     key, times = np.unique(place * len(entries) + part, return_counts=True)
-    if times.max(initial=0) >> MANY:  # as several entries
-        n = (times >> MANY) + 1
+    area = -(-pair.n_a // stripes) * pair.n_b
+    bits = min(MANY, 62 - (stripes * area * DOCS).bit_length())  # what a sort key has left; no two vocabularies in use leave less than ten
+    if times.max(initial=0) >> bits:  # as several entries
+        n = (times >> bits) + 1
         key, share = np.repeat(key, n), np.repeat(times // n, n)
         share[np.cumsum(n) - 1] += times % n
         times = share
     place, part = key // len(entries), key % len(entries)
-    held = np.frombuffer(b"".join(e[3] if e else b"" for e in entries), np.uint32).astype(np.int64)
+    held = np.frombuffer(b"".join(e[3] if e else b"" for e in entries), pair.code).astype(np.int64)
     n = size[part, 3]
     code = held[_joined_ranges((np.cumsum(size[:, 3]) - size[:, 3])[part], n)]
     a, b = code // pair.n_b, code % pair.n_b
-    area = -(-pair.n_a // stripes) * pair.n_b
     code = (a % stripes) * area + a // stripes * pair.n_b + b
-    whole_key = np.sort((code * DOCS + np.repeat(place, n)) << MANY | np.repeat(times, n))
-    key = whole_key >> MANY
+    whole_key = np.sort((code * DOCS + np.repeat(place, n)) << bits | np.repeat(times, n))
+    key = whole_key >> bits
     first = np.flatnonzero(np.diff(key, prepend=-1))
     if not len(first):
         return sums, digests, []
-    times, key = np.add.reduceat(whole_key & (1 << MANY) - 1, first), key[first]
+    times, key = np.add.reduceat(whole_key & (1 << bits) - 1, first), key[first]
     place, code = key % DOCS, key // DOCS
     first = np.flatnonzero(np.diff(code, prepend=-1))
     held_by, code = np.diff(first, append=len(key)), code[first]

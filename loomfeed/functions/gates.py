@@ -141,8 +141,8 @@ def is_canonical_utc(s: Column) -> Column:
 
 
 def due(last: Column, now: Column, hours: int) -> Column:
-    """Whether the last time is missing or at least so many hours ago."""
-    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(last) >= hours * 3600, F.lit(True))
+    """Whether the last time is missing or at least so many hours ago, to the microsecond."""
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(last) >= hours * 3_600_000_000, F.lit(True))
 
 
 def idempotency_key(job: Column, attempt: Column, key: Column) -> Column:

@@ -53,3 +53,12 @@ def test_merge_sides_cover_all_orders(spark, monkeypatch):
     orders = spark.read.parquet(f"{D}/orders.parquet")
     have = sides[0].select("id").union(sides[1].select("pos"))
     assert orders.selectExpr("o_orderkey AS id").subtract(have).count() == 0 and have.count() == orders.count()
+
+
+def test_sitemaps_due_to_the_microsecond(spark, duck, tmp_path):
+    times = ["2024-01-20 11:59:59.999999", "2024-01-20 12:00:00", "2024-01-20 12:00:00.000001", "2024-01-20 12:00:00.999999", "2024-01-20 12:00:01", None]
+    rows = [(10 * i + k, t, kind) for i, t in enumerate(times) for k, kind in enumerate(("view", "error", None))]
+    spark.createDataFrame(rows, "event_id long, t string, event_type string").selectExpr("event_id", "CAST(t AS timestamp_ntz) AS ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    sql = registry.oracle_sql()["sitemaps_due"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = {r.event_id: r.due for r in registry.queries()["sitemaps_due"](spark, str(tmp_path)).collect()}
+    assert got == dict(duck.execute(sql).fetchall())

@@ -1,9 +1,9 @@
 """Byte-level BPE with a segment tree.
 
 The leaves of the tree are byte positions; a leaf holds the rank of the pair that starts
-there, an inner node the smallest rank below it with its leftmost position. A merge reads
-the root, then updates the leaves of the merged pair and of its live neighbours, each in
-logarithmic time, so a part of n bytes takes O(n log n).
+there with its position, an inner node the smallest of FAN nodes below it. A merge reads
+the root, then updates the leaves of the merged pair and of its live neighbours and the
+nodes above them, each in logarithmic time, so a part of n bytes takes O(n log n).
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .memo import Memo, Unsafe
+from .memo import Memo, Recent, Unsafe
 
 _codecs: dict = {}
 _NONE = 1 << 62
+#: Nodes below one inner node.
+FAN = 32
 
 
 def merge_ids(part: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -32,50 +34,33 @@ def merge_ids(part: bytes, ranks: dict[bytes, int]) -> list[int]:
     if n < 2:
         return [ranks[part[i : i + 1]] for i in range(n)]
     get = ranks.get
-    size = 1 << (n - 2).bit_length() if n > 2 else 1  # leaves for pair starts 0..n-2
     shift = n.bit_length()
     mask = (1 << shift) - 1
-    tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        r = get(part[i : i + 2])
-        if r is not None:
-            tree[size + i] = r << shift | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
+    leaves = [_NONE if (r := get(part[i : i + 2])) is None else r << shift | i for i in range(n - 1)]
+    levels = [leaves]
+    while len(below := levels[-1]) > FAN:
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top = levels[-1]
     end = list(range(1, n + 1))  # end[i]: where the live symbol at i ends; the next one starts there
     prev = list(range(-1, n))  # prev[i]: start of the live symbol before i
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a <= b else b
-            if tree[i] == low:
-                break
-            tree[i] = low
-            i >>= 1
-
-    while tree[1] != _NONE:
-        i = tree[1] & mask
+    while (low := min(top)) != _NONE:
+        i = low & mask
         j = end[i]  # the right half dies
         k = end[j]
         end[i] = k
         prev[k] = i
-        if j < n - 1 and tree[size + j] != _NONE:
-            put(j, _NONE)
-        value = _NONE
-        if k < n:
-            r = get(part[i : end[k]])
-            if r is not None:
-                value = r << shift | i
-        put(i, value)
+        if j < n - 1:
+            leaves[j] = _NONE
+        leaves[i] = _NONE if k == n or (r := get(part[i : end[k]])) is None else r << shift | i
         h = prev[i]
         if h >= 0:
-            r = get(part[h:k])
-            put(h, _NONE if r is None else r << shift | h)
+            leaves[h] = _NONE if (r := get(part[h:k])) is None else r << shift | h
+        if top is not leaves:
+            changed = {x for x in (h, i, j) if 0 <= x < n - 1}
+            for below, above in zip(levels, levels[1:]):
+                changed = {x // FAN for x in changed}
+                for x in changed:
+                    above[x] = min(below[x * FAN : (x + 1) * FAN])
     out, i = [], 0
     while i < n:
         out.append(ranks[part[i : end[i]]])
@@ -91,14 +76,16 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.matches = Recent(self._merged, bound)
         self.parts = Memo(lambda part: self._pack(" " + part), bound)
 
-    def _pack(self, text: str) -> bytes:
-        ids: list[int] = []
-        for m in self.find(text):
-            ids += merge_ids(m.encode(), self.ranks)
+    def _merged(self, match: str) -> bytes:
+        ids = merge_ids(match.encode(), self.ranks)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _pack(self, text: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         head, _, rest = text.partition(" ")

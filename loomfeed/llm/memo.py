@@ -28,3 +28,22 @@ class Memo(dict):
                 self.clear()
             self[part] = value
         return value
+
+
+class Recent(dict):
+    """key -> made value; when it holds `bound` keys they become the older ones, from which those asked for again come back."""
+
+    def __init__(self, make, bound: int, longest: int = 64):
+        super().__init__()
+        self.make, self.bound, self.longest, self.older = make, bound, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.bound:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from loomfeed.llm import bpe
 from loomfeed.llm.bpe import Codec, encode_digests, encode_documents, merge_ids
 from loomfeed.llm.packing import best_fit_plan, pack
 from loomfeed.llm.token_count import count_tokens
@@ -76,6 +77,17 @@ def test_encoding_equals_the_library(text):
     assert _codec().encode(text) == np.array(enc.encode_ordinary(text), "<u4").tobytes()
 
 
+def test_matches_are_merged_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(bpe, "merge_ids", lambda part, ranks: asked.append(part) or merge_ids(part, ranks))
+    text = " ".join(["Xqzwj xqzwj,", "xqzwj.\nxqzwj", "xqzwj\nqqz", "xqzwj, qqz. xqzwj."] * 3)
+    want = np.array(_enc().encode_ordinary(text), "<u4").tobytes()
+    assert Codec(RANKS, P.PATTERN).encode(text) == want
+    assert len(asked) == len(set(asked))
+    small = Codec(RANKS, P.PATTERN, bound=3)  # what is known is put aside again and again
+    assert [small.encode(text) for _ in range(3)] == [want] * 3 and len(small.matches) <= 3 and len(small.matches.older) <= 3
+
+
 _held = {}
 
 

@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an n-gram model of trusted text.
 
 For each language an interpolated modified Kneser-Ney model of byte n-grams is trained on
-a bounded sample of trusted documents, as DataFrame aggregations and joins: counts, left
+all trusted documents, as DataFrame aggregations and joins: counts, left
 extensions, discounts, context weights and, order by order, interpolated probabilities.
 The model is a table cut into shards by language and the byte before the last, which all
 orders of an n-gram and its contexts have in common. Documents are dealt into blocks; a
@@ -28,6 +28,8 @@ ORDER = 5
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Language of rows without one, and of the model for languages without trusted text.
 ANY = ""
+#: Trusted ids that are broadcast at a time; blocks whose requests meet one copy of a shard.
+IDS, BLOCKS = 1_000_000, 128
 
 
 def byte_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,16 @@ def _mask(k: int) -> int:
     return (1 << 8 * k) - 1
 
 
+def _taught(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(model, text) of all trusted rows. Their ids are broadcast IDS at a time, so that no text moves; more of them take more reads."""
+    parts = max(1, -(-trusted.count() // IDS))
+    part = lambda df, i: df if parts == 1 else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i)
+    out = [part(docs, i).join(F.broadcast(part(trusted, i)), "doc_id", "left_semi") for i in range(parts)]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0].select(F.col("lang").alias("model"), "text")
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """(model, text) -> (model, gram, c), summed before anything moves."""
 
@@ -288,25 +300,22 @@ def _quantile(quantile: float | dict[str, float]):
     return F.element_at(at, F.when(which > 0, which).otherwise(len(names) + 1).cast("int"))
 
 
-def decisions(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, quantile: float | dict[str, float] = 0.998, prior: int = 200, block_bytes: int = 16_000_000) -> DataFrame:
+def decisions(docs: DataFrame, labels: DataFrame, quantile: float | dict[str, float] = 0.998, prior: int = 200, block_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept, key of every row; see classify().
 
     Texts move once, compressed, to their block; requests and scores read the same exchange.
     """
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.coalesce("lang", F.lit(ANY)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), _content_key("text", "lang").alias("key"))
-    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = materialise(plain.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n")), "ids")
-    good = materialise(ids.where("n > 0").join(trusted, "doc_id", "left_semi").select("doc_id", "lang"), "trusted")
-    share = good.groupBy("lang").agg(F.least(F.lit(1.0), max_docs / F.count("*")).alias("share"))
-    sample = good.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("doc_id", F.col("lang").alias("model")).distinct()
-    counts = materialise(_counts(plain.where("text <> ''").join(sample.select("doc_id", F.col("model").alias("lang")), ["doc_id", "lang"], "left_semi").select(F.col("lang").alias("model"), "text")), "counts")
+    trusted = materialise(labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "trusted")
+    ids = materialise(plain.select("lang", F.octet_length("text").cast("long").alias("n")), "ids")
+    counts = materialise(_counts(_taught(plain.where("text <> ''"), trusted)), "counts")
     langs = materialise(counts.select(F.col("model").alias("lang"), F.lit(True).alias("taught")).distinct(), "languages")
     pooled = counts.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(ANY).alias("model"), "gram", "c")
     if not langs.where(F.col("lang") == ANY).isEmpty():
         pooled = pooled.limit(0)
     blocks = max(1, -(-(ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // block_bytes))
-    salts = -(-blocks // 16)
+    salts = -(-blocks // BLOCKS)
     shards = materialise(_shards(kneser_ney(counts.unionByName(pooled))), "shards").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = plain.join(langs, "lang", "left").withColumn("model", F.when(F.col("taught"), F.col("lang")).otherwise(F.lit(ANY))).withColumn("own", F.lit(True))
     if not ids.join(langs, "lang", "left_anti").isEmpty():
@@ -325,17 +334,17 @@ def decisions(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, quantile
     perplexity = F.when(F.col("n") > 0, F.exp(F.col("nats") / F.col("n")))
     out = scores.where("key LIKE '+%'").join(limits, "model", "left")
     out = out.select("doc_id", "lang", F.col("n").alias("n_bytes"), perplexity.alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"), F.expr("substring(key, 2)").alias("key"))
-    for t in (ids, good, counts, langs):
+    for t in (ids, counts, langs):
         discard(t)
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, quantile: float | dict[str, float] = 0.998, prior: int = 200, block_bytes: int = 16_000_000, out_col: str = "quality") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float | dict[str, float] = 0.998, prior: int = 200, block_bytes: int = 16_000_000, out_col: str = "quality") -> DataFrame:
     """docs with a struct column out_col: n_bytes, perplexity (per byte), threshold, kept.
 
     docs need doc_id, text and lang; labels need doc_id, quality and toxic. Trusted are
-    documents with quality 1 that are not toxic; the model learns from about max_docs of
-    each language, drawn by the hash of their ids, the thresholds from all. A document is
+    documents with quality 1 that are not toxic; models and thresholds come from all of
+    them. A document is
     rejected if its mean negative log-probability, drawn towards its language's mean by
     `prior` bytes (so that short texts need more evidence), is over the language's
     threshold: the `quantile` of its trusted documents, one number or one by language (with
@@ -345,7 +354,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, quantile:
     text all is kept. A value at the threshold is kept. Repeated rows score alike; an empty
     table gives no rows. out_col must not be a column of docs; other columns stay.
     """
-    made = decisions(docs, labels, max_docs, quantile, prior, block_bytes)
+    made = decisions(docs, labels, quantile, prior, block_bytes)
     made = made.groupBy("key").agg(F.first(F.struct("n_bytes", "perplexity", "threshold", "kept")).alias("made"))
     rows = docs.select(F.struct("*").alias("row")).select("row", _content_key("row.text", "row.lang").alias("key"))
     return rows.join(made, "key").select("row.*", F.col("made").alias(out_col))

@@ -183,6 +183,27 @@ def test_quality_error_rates(spark):
     assert len(bad) > 400 and bad.count(True) <= 0.03 * len(bad)
 
 
+@pytest.mark.parametrize("ids", [1_000_000, 300])
+def test_quality_counts_come_from_all_trusted_rows(spark, monkeypatch, ids):
+    """3000 documents of a language, some of them with a word of their own; ids are broadcast in one part or in ten."""
+    monkeypatch.setattr(quality, "IDS", ids)
+    held = []
+    monkeypatch.setattr(quality, "kneser_ney", lambda counts, plain=quality.kneser_ney: held.extend(counts.collect()) or plain(counts))
+    rows = [(i, f"the water {i:04d}" if i % 3 else None if i % 2 else "", "en") for i in range(3000)] + [(3000 + i, "le pont", "fr") for i in range(5)] + [(1, "das Wasser", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    quality.decisions(docs, spark.range(3004).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    got = {(r.model, r.gram): r.c for r in held}
+    want = collections.Counter()
+    for i, text, lang in rows:
+        if text and i < 3004:
+            b = b"\n" * 4 + text.encode()
+            for j in range(5, len(b) + 1):
+                g = int.from_bytes(b[j - 5 : j], "big")
+                want[lang, g] += 1
+                want["", g] += 1
+    assert got == want
+
+
 def test_quality_sample_is_bounded_and_probabilities_sum_to_one(spark):
     counts = spark.createDataFrame([("a", int.from_bytes(bytes(b"\n\n\n\nabracadabra banana"[i : i + 5]), "big"), 1 + i % 3) for i in range(18)], "model string, gram long, c long")
     rows = quality.kneser_ney(counts).collect()

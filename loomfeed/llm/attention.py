@@ -8,10 +8,14 @@ corpus counts.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 CONTEXT = NEW = 16
 DIM, CLASSES = 16, 96
+#: Bins, by twentieths of a nat, of how much likelier than by counts a class is.
+BINS, BIN = 640, 0.05
 
 
 def windows(ids: list[np.ndarray], start: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,10 +46,11 @@ class Attention:
         self.P = (0.1 * rng.standard_normal((CONTEXT + NEW - 1, DIM))).astype(np.float32)
         self.Wq, self.Wk, self.Wv, self.Wo, self.Wc = r(DIM, DIM), r(DIM, DIM), r(DIM, DIM), r(DIM, DIM), r(DIM, CLASSES)
         self.b = np.log(np.maximum(mass / max(mass.sum(), 1e-9), 1e-9)).astype(np.float32)
+        self.prior = self.b.copy()
         at = np.arange(CONTEXT + NEW - 1)
         self.mask = np.where(at[None] <= np.arange(CONTEXT - 1, CONTEXT + NEW - 1)[:, None], 0, -1e9).astype(np.float32)
 
-    def _forward(self, w: np.ndarray, output: bool = True):
+    def _forward(self, w: np.ndarray):
         seen = w[:, :-1]
         x = self.E[seen] + self.P
         flat = x.reshape(-1, DIM)
@@ -60,8 +65,6 @@ class Attention:
         s /= s.sum(2, keepdims=True)
         a = s @ v
         h = last + (a.reshape(-1, DIM) @ self.Wo).reshape(last.shape)
-        if not output:
-            return (h,)
         z = h.reshape(-1, DIM) @ self.Wc + self.b
         z -= z.max(1, keepdims=True)
         return seen, x, k, v, last, q, s, a, h, z
@@ -152,24 +155,77 @@ class Attention:
         g["E"][self.pad] = 0
         return g
 
-    def hidden(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the output layer gets at the places before ids that begin words, and the classes of those ids."""
+    def sums(self, w: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients summed over the new ids that begin words, of all weights but the embedding; the ids seen with the gradients of their rows; the log of how much likelier each class is than its prior."""
+        seen = w[:, :-1]
         of = self.class_of[w[:, CONTEXT:].ravel()]
         rows = np.flatnonzero(of >= 0)
-        with np.errstate(all="ignore"):
-            h = self._quick(w, rows)
-        if not np.isfinite(h).all():
-            h = self._forward(w, output=False)[-1].reshape(-1, DIM)[rows]
-        return h, of[rows]
+        of, at = of[rows], np.arange(len(rows))
+        x = np.take(self.E, seen, axis=0)
+        x += self.P
+        flat = x.reshape(-1, DIM)
+        k, v = (flat @ self.Wk).reshape(x.shape), (flat @ self.Wv).reshape(x.shape)
+        last = np.ascontiguousarray(x[:, CONTEXT - 1 :]).reshape(-1, DIM)
+        scaled = self.Wq / np.float32(np.sqrt(DIM))
+        q = (last @ scaled).reshape(-1, NEW, DIM)
+        s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        s += self.mask
+        begins = np.flatnonzero(seen[:, 0] == self.pad)  # only a text's first window has padding before its ids
+        s[begins] += np.where(seen[begins] == self.pad, np.float32(-1e9), np.float32(0))[:, None]
+        s -= s.max(2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(2, keepdims=True)
+        a = np.matmul(s, v).reshape(-1, DIM)
+        h = a[rows] @ self.Wo
+        h += last[rows]
+        p = h @ self.Wc
+        p += self.b
+        p -= p.max(1, keepdims=True)
+        own = p[at, of]
+        np.exp(p, out=p)
+        total = p.sum(1)
+        ratio = own - np.log(total) - self.prior[of]
+        p /= total[:, None]
+        p[at, of] -= 1
+        g = {"Wc": h.T @ p, "b": p.sum(0)}
+        dh = p @ self.Wc.T
+        g["Wo"] = a[rows].T @ dh
+        da = np.zeros_like(a)
+        da[rows] = dh @ self.Wo.T
+        inner = (da * a).sum(1).reshape(-1, NEW, 1)  # of each place's weights with their gradients
+        da = da.reshape(-1, NEW, DIM)
+        dv = np.matmul(np.ascontiguousarray(s.transpose(0, 2, 1)), da)
+        ds = np.matmul(da, np.ascontiguousarray(v.transpose(0, 2, 1)))
+        ds -= inner
+        ds *= s
+        dq = np.matmul(ds, k).reshape(-1, DIM)
+        dk = np.matmul(np.ascontiguousarray(ds.transpose(0, 2, 1)), q)
+        dk, dv = dk.reshape(-1, DIM), dv.reshape(-1, DIM)
+        g["Wq"] = last.T @ dq / np.float32(np.sqrt(DIM))
+        g["Wk"], g["Wv"] = flat.T @ dk, flat.T @ dv
+        dx = (dk @ self.Wk.T + dv @ self.Wv.T).reshape(x.shape)
+        dlast = dq @ scaled.T
+        dlast[rows] += dh
+        dx[:, CONTEXT - 1 :] += dlast.reshape(-1, NEW, DIM)
+        g["P"] = dx.sum(0)
+        return g, seen.ravel(), dx.reshape(-1, DIM), ratio
 
 
 class Pass:
-    """One Adam pass of the output layer over windows that come in parts: each is used once."""
+    """One pass over windows that come in parts: each is used once and trains every weight of a copy of the model.
 
-    def __init__(self, model: Attention, batch: int = 384, rate: float = 0.003, seed: int = 7):
-        self.model, self.batch, self.rate, self.rng = model, batch, rate, np.random.default_rng(seed)
-        self.W = np.vstack([model.Wc, model.b])
-        self.m1, self.m2 = np.zeros_like(self.W), np.zeros_like(self.W)
+    Adam, and Adagrad by rows for the embedding. Before a batch is trained on, its classes
+    are foretold: ratios counts, by bins, how much likelier they were than by counts alone.
+    """
+
+    def __init__(self, model: Attention, batch: int = 384, rate: float = 0.003, seed: int = 7, row_rate: float = 0.05):
+        self.model = copy.copy(model)
+        for k in model.NAMES:
+            setattr(self.model, k, getattr(model, k).copy())
+        self.batch, self.rate, self.row_rate, self.rng = batch, rate, row_rate, np.random.default_rng(seed)
+        self.m1, self.m2 = ({k: np.zeros_like(getattr(model, k)) for k in model.NAMES if k != "E"} for _ in range(2))
+        self.square, self.seen = np.zeros(len(model.E), np.float32), np.zeros(len(model.E), np.int64)
+        self.ratios = np.zeros(BINS, np.int64)
         self.rest = np.zeros((0, CONTEXT + NEW), np.int32)
         self.steps = self.windows = 0
 
@@ -188,25 +244,61 @@ class Pass:
 
     def _step(self, w: np.ndarray) -> None:
         self.windows += len(w)
-        parts = [self.model.hidden(w[i : i + 128]) for i in range(0, len(w), 128)]
-        of = np.concatenate([of for _, of in parts])
-        if not len(of):
+        parts = [self.model.sums(w[i : i + 128]) for i in range(0, len(w), 128)]
+        n = sum(len(ratio) for *_, ratio in parts)
+        if not n:
             return
         self.steps += 1
-        h = np.ones((len(of), DIM + 1), np.float32)
-        np.concatenate([x for x, _ in parts], out=h[:, :DIM])
-        p = h @ self.W
-        if p.max() > 80:
-            p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        total = p @ np.ones(CLASSES, np.float32)
-        p[np.arange(len(p)), of] -= total
-        h /= total[:, None]
-        g = h.T @ p / np.float32(len(of))
+        ratio = np.concatenate([ratio for *_, ratio in parts])
+        self.ratios += np.bincount(np.clip(ratio / BIN + BINS // 2, 0, BINS - 1).astype(np.int64), minlength=BINS)
         t = self.steps
-        self.m1 += 0.1 * (g - self.m1)
-        self.m2 += 0.01 * (g * g - self.m2)
-        self.W -= self.rate * min(1.0, t / 20) * (self.m1 / (1 - 0.9**t)) / (np.sqrt(self.m2 / (1 - 0.99**t)) + 1e-6)
+        for k, m1 in self.m1.items():
+            g = sum(p[0][k] for p in parts) / np.float32(n)
+            m1 += 0.1 * (g - m1)
+            self.m2[k] += 0.01 * (g * g - self.m2[k])
+            getattr(self.model, k)[...] -= self.rate * min(1.0, t / 20) * (m1 / (1 - 0.9**t)) / (np.sqrt(self.m2[k] / (1 - 0.99**t)) + 1e-6)
+        seen, dx = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = np.argsort(seen.astype(np.uint16) if len(self.seen) <= 1 << 16 else seen, kind="stable")
+        seen = seen[order]
+        first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        rows, g = seen[first], np.add.reduceat(dx[order], first, axis=0)
+        self.seen[rows] += np.diff(np.append(first, len(seen)))
+        real = rows != self.model.pad
+        rows, g = rows[real], g[real]
+        self.square[rows] += (g * g).mean(1)
+        self.model.E[rows] -= np.float32(self.row_rate * min(1.0, t / 20)) * g / (np.sqrt(self.square[rows]) + np.float32(1e-6))[:, None]
+
+    def table(self, start: Attention) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, rows): the weights' changes times what they count, and that count: of the id for a row of the embedding, else of the windows; then the ratios."""
+        if not self.windows:
+            return np.zeros(0, np.int64), np.zeros((0, DIM + 1))
+        ids = np.flatnonzero(self.seen)
+        rows = np.vstack([(self.model.E[ids] - start.E[ids]) * self.seen[ids, None], (_stacked(self.model) - _stacked(start)) * self.windows])
+        count = np.append(self.seen[ids], np.full(len(rows) - len(ids), self.windows))
+        out = np.vstack([np.column_stack([rows, count]), np.pad(self.ratios.reshape(-1, DIM), ((0, 0), (0, 1)))])
+        return np.append(ids, len(start.E) + np.arange(len(out) - len(ids))), out
+
+
+def _stacked(model: Attention) -> np.ndarray:
+    """All weights but the embedding as rows of DIM."""
+    return np.vstack([getattr(model, k).reshape(-1, DIM) for k in model.NAMES if k != "E"])
+
+
+def table_rows(model: Attention) -> int:
+    return len(model.E) + len(_stacked(model)) + BINS // DIM
+
+
+def take_means(model: Attention, total: np.ndarray) -> tuple[int, np.ndarray]:
+    """Set the weights to the means of the copies whose table() rows were summed to total; the number of windows and the ratios."""
+    change = total[:, :DIM] / np.maximum(total[:, DIM:], 1)
+    at = len(model.E)
+    windows_ = int(total[at, DIM])
+    model.E += change[:at].astype(np.float32)
+    for k in model.NAMES[1:]:
+        p = getattr(model, k)
+        p += change[at : at + p.size // DIM].reshape(p.shape).astype(np.float32)
+        at += p.size // DIM
+    return windows_, total[at:, :DIM].ravel()
 
 
 def frequent(counts: np.ndarray) -> np.ndarray:

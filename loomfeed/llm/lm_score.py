@@ -5,8 +5,10 @@ their counts in training documents once; the counts are summed per word over the
 and sent back to the blocks that hold the word, so the traffic is of distinct words, not
 of tokens. A block is then scored as a whole: word counts give the base score, and the
 model mixes them with a causal self-attention model over subword ids, which gives the
-class of the next word. That model is trained on a sample on the driver; then each task
-trains its output layer on all windows of its training texts, and the layers are averaged.
+class of the next word. That model starts from a few steps on the driver; then each task
+trains a copy, every weight of it, on all windows of its training texts, and the copies are
+averaged. The mixture's weight is fitted on what the copies foretold of each window before
+they were trained on it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, DIM, Attention, Pass, classes, features, frequent, windows
+from .attention import BIN, BINS, CLASSES, DIM, Attention, Pass, classes, features, frequent, table_rows, take_means, windows
 from .common import discard, materialise
 
 END = b" "  # no word is a space
@@ -139,15 +141,14 @@ class Scorer:
         joint = np.log1p(-self.unknown) + np.log(c) + np.logaddexp(np.log(self.weight / max(self.total, 1)), attention + np.log1p(-self.weight)) if self.total else attention
         return np.where(known, joint, np.log(self.unknown)) / np.log(10)
 
-    def fit_weight(self, counts: np.ndarray, attention: np.ndarray, rounds: int = 20) -> None:
-        """Expectation-maximisation of the weight on words that the model was not fitted on."""
-        known = counts > 0
-        if not known.any():
+    def fit_weight(self, ratios: np.ndarray, rounds: int = 20) -> None:
+        """Expectation-maximisation of the weight over the ratios of Pass: of words before the model was fitted on them."""
+        if not ratios.sum():
             return
-        a, b = 1 / self.total, np.exp(attention[known])
+        b = np.exp((np.arange(BINS) - BINS // 2 + 0.5) * BIN)
         for _ in range(rounds):
-            r = self.weight * a / (self.weight * a + (1 - self.weight) * b)
-            self.weight = float(np.clip(r.mean(), 0.01, 0.99))
+            r = self.weight / (self.weight + (1 - self.weight) * b)
+            self.weight = float(np.clip((r * ratios).sum() / ratios.sum(), 0.01, 0.99))
 
 
 def _vocabulary(blocked: DataFrame) -> DataFrame:
@@ -244,8 +245,8 @@ def _features(streams: DataFrame, top: np.ndarray, n: int) -> np.ndarray:
     return _row_sums(streams, run, n, len(top)).astype(np.float64)
 
 
-def train_all(model: Attention, streams: DataFrame, start: int) -> int:
-    """Train the output layer on all windows, a copy for each task's texts, and average the copies by their windows; the number of windows."""
+def _trained(model: Attention, streams: DataFrame, start: int) -> tuple[int, np.ndarray]:
+    """Train all weights on all windows, a copy for each task's texts, and average the copies; the number of windows and the ratios of Pass."""
     held = streams.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -253,18 +254,18 @@ def train_all(model: Attention, streams: DataFrame, start: int) -> int:
         for ids in _arrays(batches):
             over.add(windows(ids, start, over.model.pad)[0])
         over.close()
-        n = over.windows
-        return np.arange(DIM + 1 if n else 0), np.hstack([over.W * np.float32(n), np.full((DIM + 1, 1), n, np.float32)])[: DIM + 1 if n else 0]
+        return over.table(held.value)
+
+    return take_means(model, _row_sums(streams, run, table_rows(model), DIM + 1))
 
-    total = _row_sums(streams, run, DIM + 1, CLASSES + 1)
-    if n := total[0, CLASSES]:
-        mean = total[:, :CLASSES] / n
-        model.Wc[:], model.b[:] = mean[:DIM], mean[DIM]
-    return int(n)
+
+def train_all(model: Attention, streams: DataFrame, start: int) -> int:
+    """Train all weights on all windows; the number of windows."""
+    return _trained(model, streams, start)[0]
 
 
-def fit(counts: DataFrame, streams: DataFrame, used: list[str], held: list[str], path: str, pattern: str, steps: int) -> Scorer:
-    """Train the attention model on the texts `used`, its output layer on all kept streams; fit the weight on the texts `held`, which are not kept."""
+def fit(counts: DataFrame, streams: DataFrame, first: list[str], path: str, pattern: str, steps: int) -> Scorer:
+    """Train the attention model and fit the weight on all streams; its weights start from some steps on the texts `first`."""
     total, distinct, single = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     sub = subwords(path, pattern)
     n = _id_counts(counts, path, pattern)
@@ -273,18 +274,12 @@ def fit(counts: DataFrame, streams: DataFrame, used: list[str], held: list[str],
     class_of = classes(_features(streams, top, len(n)), top, sub.begins)
     of_class = np.bincount(np.maximum(class_of, 0), np.where(class_of >= 0, n, 0), CLASSES)
     model = Attention(sub.size, class_of, of_class)
-    w, _ = windows(_stream([words_of(t.encode()) for t in used], sub)[0], sub.end, model.pad)
+    w, _ = windows(_stream([words_of(t.encode()) for t in first], sub)[0], sub.end, model.pad)
     if len(w) and steps:
         model.train(w, steps)
-    train_all(model, streams.where("kept"), sub.end)
+    _, ratios = _trained(model, streams, sub.end)
     scorer = Scorer(model, total, distinct, single, of_class)
-    held = [words_of(t.encode()) for t in held]
-    words = sorted({w for h in held for w in h} | {END})
-    lookup = {r["word"]: r["c"] for r in counts.join(F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")), "word").collect()}
-    lookup = {bytes(k): c for k, c in lookup.items()}
-    own = np.array([lookup.get(w, 0) for h in held for w in [*h, END]], np.float64)
-    if len(own):
-        scorer.fit_weight(own, scorer.attention_log(*_stream(held, sub), sub.end))
+    scorer.fit_weight(ratios)
     return scorer
 
 
@@ -292,9 +287,9 @@ def score(docs: DataFrame, path: str, pattern: str, folds: int = 7, held: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Rows whose crc32 of the id as text leaves `held` modulo `folds` are held out; word and
-    subword counts and classes come from all others. About `sample` of them train the
-    attention model for `steps` steps; then every window of all of them trains its output
-    layer, but for the tenth of the sample that the mixture's weight is fitted on. A null text is empty: its one token is the end. A null id counts as the empty
+    subword counts and classes come from all others, and every window of all of them trains
+    every weight of the attention model and counts for the mixture's weight. Training starts
+    from `steps` steps on about `sample` of them. A null text is empty: its one token is the end. A null id counts as the empty
     text. Repeated rows count and are scored each; an empty table gives no rows; texts
     are scored whole, in overlapping windows; other columns are ignored.
     """
@@ -308,10 +303,10 @@ def score(docs: DataFrame, path: str, pattern: str, folds: int = 7, held: int =
     counts = materialise(vocabulary.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "word-counts")
     share = min(1.0, sample / max(1, n_train))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    texts = rows.where("train").select("doc_id", "text", (draw >= share / 10 * (1 << 20)).alias("kept"), (draw < share * (1 << 20)).alias("drawn"))
+    texts = rows.where("train").select("doc_id", "text", F.lit(True).alias("kept"), (draw < share * (1 << 20)).alias("drawn"))
     drawn = texts.where("drawn").orderBy("doc_id").collect()
     streams = materialise(_id_streams(texts.select("text", "kept"), path, pattern), "ids")
-    scorer = fit(counts, streams, [r["text"] for r in drawn if r["kept"]], [r["text"] for r in drawn if not r["kept"]], path, pattern, steps)
+    scorer = fit(counts, streams, [r["text"] for r in drawn], path, pattern, steps)
     discard(streams)
     held_model = spark.sparkContext.broadcast(scorer)
     own = vocabulary.select("block", "word").join(counts, "word").select("block", "word", "c")

@@ -8,8 +8,8 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from loomfeed.llm import license_scan, quality
-from loomfeed.llm.attention import CLASSES, CONTEXT, NEW, Attention, Pass, features, windows
+from loomfeed.llm import license_scan, lm_score, quality
+from loomfeed.llm.attention import BIN, BINS, CLASSES, CONTEXT, NEW, Attention, Pass, features, windows
 from loomfeed.llm.common import connected_components
 from loomfeed.llm.jaccard_join import similarity_classes
 from loomfeed.llm.lm_score import Scorer, _features, _id_streams, score, subwords, train_all
@@ -313,6 +313,56 @@ def test_attention_learns_from_every_training_window(spark, docs, corpus):
     assert -model.log_p(w)[real].mean() < loss
 
 
+def test_every_window_trains_every_weight(spark):
+    """The mean of the tasks' copies: each row of the embedding by how often a task saw its id, the rest by windows; nothing is kept back."""
+    sub = subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = np.random.default_rng(4)
+    model = Attention(sub.size, np.where(sub.begins, rng.integers(0, CLASSES, sub.size), -1), np.ones(CLASSES))
+    start = {k: getattr(model, k).copy() for k in model.NAMES}
+    ids = [rng.choice([5, 17, 300, 301, 400 + 50 * i, sub.end], 4000).astype(np.int32) for i in range(3)]
+    alone = [Pass(model) for _ in ids]
+    for over, x in zip(alone, ids):
+        over.add(windows([x], sub.end, model.pad)[0])
+        over.close()
+    several = spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(x.tobytes()), True) for x in ids], 3), "ids binary, kept boolean")
+    n, ratios = lm_score._trained(model, several, sub.end)
+    assert n == sum(o.windows for o in alone) == 750
+    apart = ratios - sum(o.ratios for o in alone)  # rounding may put some into the next bin
+    assert np.abs(apart).sum() <= 0.01 * ratios.sum() and np.abs(np.cumsum(apart)).max() <= 0.01 * ratios.sum()
+    assert ratios.sum() == sum((model.class_of[x] >= 0).sum() for x in ids)
+    for k in model.NAMES:
+        assert (getattr(model, k) != start[k]).any(), k
+        if k != "E":
+            assert np.allclose(getattr(model, k), sum(getattr(o.model, k) for o in alone) / 3, atol=1e-5), k
+    seen = sum(o.seen for o in alone)
+    want = sum(o.seen[:, None] * o.model.E for o in alone) / np.maximum(seen, 1)[:, None]
+    assert np.allclose(model.E[seen > 0], want[seen > 0], atol=1e-5) and (model.E[seen == 0] == start["E"][seen == 0]).all()
+
+
+def test_summed_gradients_are_those_of_the_plain_pass():
+    rng = np.random.default_rng(6)
+    model = Attention(40, np.where(np.arange(40) % 3 > 0, np.arange(40) % CLASSES, -1), np.arange(1.0, CLASSES + 1))
+    w, _ = windows([rng.integers(0, 40, n).astype(np.int32) for n in (3, 100, 17)], 0, 40)
+    g, seen, dx = model._parts(w)
+    sums, ids, rows, ratio = model.sums(w)
+    real = model.class_of[w[:, CONTEXT:]] >= 0
+    assert (ids == seen).all() and len(ratio) == real.sum() and np.allclose(rows / len(ratio), dx, atol=1e-6)
+    assert all(np.allclose(sums[k] / len(ratio), g[k], atol=1e-6) for k in g)
+    assert np.allclose(ratio, (model.log_p(w) - model.prior[model.class_of[w[:, CONTEXT:]]])[real], atol=1e-4)
+
+
+def test_weight_from_ratios():
+    s = Scorer(None, 6, 3, 1, np.ones(2))
+    ratios = np.zeros(BINS)
+    ratios[BINS // 2 + 60] = 30  # a class is some e**3 times likelier than by counts
+    ratios[BINS // 2 - 100] = 70  # or e**-5
+    s.fit_weight(ratios, 500)
+    a, b = math.exp(60.5 * BIN), math.exp(-99.5 * BIN)
+    grid = np.linspace(0.01, 0.99, 9801)
+    best = grid[np.argmax(30 * np.log(grid + (1 - grid) * a) + 70 * np.log(grid + (1 - grid) * b))]
+    assert abs(s.weight - best) < 1e-3
+
+
 def test_pass_uses_each_window_once():
     w, _ = windows([np.arange(NEW * 50, dtype=np.int32) % 30], 0, 30)
     over = Pass(Attention(30, np.arange(30) % CLASSES, np.ones(CLASSES)), batch=16)

@@ -169,21 +169,24 @@ class Attention:
         scaled = self.Wq / np.float32(np.sqrt(DIM))
         q = (last @ scaled).reshape(-1, NEW, DIM)
         s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        wide = np.abs(s).max(initial=0) > 80  # else float32 holds the sums
         s += self.mask
         begins = np.flatnonzero(seen[:, 0] == self.pad)  # only a text's first window has padding before its ids
         s[begins] += np.where(seen[begins] == self.pad, np.float32(-1e9), np.float32(0))[:, None]
-        s -= s.max(2, keepdims=True)
+        if wide:
+            s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
+        s /= (s.reshape(-1, s.shape[2]) @ np.ones((s.shape[2], 1), np.float32)).reshape(-1, NEW, 1)
         a = np.matmul(s, v).reshape(-1, DIM)
         h = a[rows] @ self.Wo
         h += last[rows]
         p = h @ self.Wc
         p += self.b
-        p -= p.max(1, keepdims=True)
+        if np.abs(p).max(initial=0) > 80:
+            p -= p.max(1, keepdims=True)
         own = p[at, of]
         np.exp(p, out=p)
-        total = p.sum(1)
+        total = p @ np.ones(CLASSES, np.float32)
         ratio = own - np.log(total) - self.prior[of]
         p /= total[:, None]
         p[at, of] -= 1
@@ -192,7 +195,7 @@ class Attention:
         g["Wo"] = a[rows].T @ dh
         da = np.zeros_like(a)
         da[rows] = dh @ self.Wo.T
-        inner = (da * a).sum(1).reshape(-1, NEW, 1)  # of each place's weights with their gradients
+        inner = ((da * a) @ np.ones((DIM, 1), np.float32)).reshape(-1, NEW, 1)  # of each place's weights with their gradients
         da = da.reshape(-1, NEW, DIM)
         dv = np.matmul(np.ascontiguousarray(s.transpose(0, 2, 1)), da)
         ds = np.matmul(da, np.ascontiguousarray(v.transpose(0, 2, 1)))

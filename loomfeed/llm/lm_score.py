@@ -14,8 +14,10 @@ they were trained on it.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from .common import discard, materialise
 END = b" "  # no word is a space
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _subwords: dict = {}
+#: Spaces that words may begin or end with.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -50,6 +54,29 @@ class Subwords(dict):
         self.encode = tiktoken.Encoding(f"subwords-{path}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tail = np.int32(self.end).tobytes()
 
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words, one after the other, and how many each has, by one call where a space is sure to begin a word."""
+        text = (b" " + b" ".join(words)).decode() if words else ""
+        if words and END not in words and not _ODD.search(text):
+            flat = np.array(self.encode(text), np.int32)
+            starts = np.flatnonzero(self.begins[flat])
+            if len(starts) == len(words):
+                return flat, np.diff(np.append(starts, len(flat)))
+        parts = list(map(self.__getitem__, words))
+        return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+
+    def learn(self, words: set[bytes]) -> None:
+        """Hold words that texts are about to ask for."""
+        new = [w for w in words.difference(self) if w != END and len(w) <= 64]
+        if len(self) + len(new) > self.bound:
+            self.clear()
+            new = [w for w in words if w != END and len(w) <= 64][: self.bound]
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
+            flat, sizes = self.encoded(part)
+            raw, at = flat.tobytes(), np.append(0, np.cumsum(sizes) * 4).tolist()
+            self.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:]))))
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.tail if word == END else np.array(self.encode(" " + word.decode()), np.int32).tobytes()
         if len(word) <= 64:
@@ -81,11 +108,11 @@ class Block(dict):
 
     def __init__(self, words: list[bytes], counts: list[int], sub: Subwords):
         super().__init__(zip(words, range(len(words)), strict=True))
-        self.sub, self.parts, self.known = sub, list(map(sub.__getitem__, words)), counts
+        self.sub, self.words, self.known = sub, words, counts
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.parts)
-        self.parts.append(self.sub[word])
+        self[word] = n = len(self)
+        self.words.append(word)
         return n
 
     def texts(self, texts) -> list[np.ndarray]:
@@ -95,11 +122,11 @@ class Block(dict):
 
     def close(self) -> None:
         """All texts have been numbered: lay counts and ids out as arrays."""
-        self.counts = np.zeros(len(self.parts))
+        self.counts = np.zeros(len(self.words))
         self.counts[: len(self.known)] = self.known
-        self.sizes = np.fromiter(map(len, self.parts), np.int64, len(self.parts)) >> 2
+        flat, sizes = zip(*(self.sub.encoded(self.words[i : i + 1024]) for i in range(0, len(self.words), 1024)))
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(self.parts), np.int32)
 
     def stream(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Ids of each text, number of ids and count of every word."""
@@ -172,8 +199,10 @@ def _id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
         sub = subwords(path, pattern)
         total = np.zeros(sub.size, np.int64)
         for b in batches:
-            first = np.array([int.from_bytes(sub[w][:4], "little") for w in b.column("word").to_pylist()], np.int64)
-            np.add.at(total, first, b.column("c").to_numpy())
+            words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
+            for i in range(0, len(words), 1024):
+                flat, sizes = sub.encoded(words[i : i + 1024])
+                np.add.at(total, flat[np.cumsum(sizes) - sizes], c[i : i + 1024])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
 
@@ -189,7 +218,15 @@ def _id_streams(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
         for b in batches:
-            ids = [b"".join([*map(sub.__getitem__, words_of(t.encode())), sub.tail]) for t in b.column("text").to_pylist()]
+            ids, part, size = [], [], 0
+            texts = b.column("text").to_pylist()
+            for i, t in enumerate(texts, 1):
+                part.append(words_of(t.encode()))
+                size += len(part[-1])
+                if size >= 50_000 or i == len(texts):
+                    sub.learn(set(chain.from_iterable(part)))
+                    ids += [b"".join([*map(sub.__getitem__, words), sub.tail]) for words in part]
+                    part, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column("kept")], names=["ids", "kept"])
 
     return rows.mapInArrow(run, "ids binary, kept boolean")

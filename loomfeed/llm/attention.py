@@ -315,12 +315,12 @@ def features(texts: list[np.ndarray], top: np.ndarray, n: int) -> np.ndarray:
     mark[top] = np.arange(len(top))
     gap = np.full(8, n, np.int32)
     ids = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
-    out = np.zeros(n * len(top))
+    keys = []
     for back in range(1, 9):
         before, own = mark[ids[:-back]], ids[back:]
-        ok = (before >= 0) & (own < n)
-        out += np.bincount(own[ok].astype(np.int64) * len(top) + before[ok], minlength=len(out))
-    return out.reshape(n, len(top))
+        ok = np.flatnonzero((before >= 0) & (own < n))
+        keys.append(own[ok].astype(np.int64) * len(top) + before[ok])
+    return np.bincount(np.concatenate(keys), minlength=n * len(top)).reshape(n, len(top))
 
 
 def classes(features: np.ndarray, top: np.ndarray, begins: np.ndarray, rounds: int = 8, seed: int = 9) -> np.ndarray:

@@ -16,16 +16,16 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import BIN, BINS, CLASSES, DIM, Attention, Pass, classes, features, frequent, table_rows, take_means, windows
-from .common import discard, materialise
+from .common import discard, materialise, trim
 
 END = b" "  # no word is a space
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,18 +65,6 @@ class Subwords(dict):
         parts = list(map(self.__getitem__, words))
         return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
 
-    def learn(self, words: set[bytes]) -> None:
-        """Hold words that texts are about to ask for."""
-        new = [w for w in words.difference(self) if w != END and len(w) <= 64]
-        if len(self) + len(new) > self.bound:
-            self.clear()
-            new = [w for w in words if w != END and len(w) <= 64][: self.bound]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            flat, sizes = self.encoded(part)
-            raw, at = flat.tobytes(), np.append(0, np.cumsum(sizes) * 4).tolist()
-            self.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:]))))
-
     def __missing__(self, word: bytes) -> bytes:
         ids = self.tail if word == END else np.array(self.encode(" " + word.decode()), np.int32).tobytes()
         if len(word) <= 64:
@@ -178,6 +166,18 @@ class Scorer:
             self.weight = float(np.clip((r * ratios).sum() / ratios.sum(), 0.01, 0.99))
 
 
+def _runs(sizes: Iterable[int], bound: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of items whose sizes come to `bound`."""
+    lo = size = end = 0
+    for end, x in enumerate(sizes, 1):
+        size += x
+        if size >= bound:
+            yield lo, end
+            lo, size = end, 0
+    if lo < end:
+        yield lo, end
+
+
 def _vocabulary(blocked: DataFrame) -> DataFrame:
     """(block, text, train) -> (block, word, c): the distinct words of each block with their counts in its training documents."""
 
@@ -187,6 +187,7 @@ def _vocabulary(blocked: DataFrame) -> DataFrame:
             w = words_of(text.encode())
             w.append(END)
             seen.update(w) if train else seen.update(dict.fromkeys(w, 0))
+        trim()
         return pa.table({"block": pa.array([key[0].as_py()] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
 
     return blocked.groupBy("block").applyInArrow(run, "block int, word binary, c long")
@@ -218,16 +219,14 @@ def _id_streams(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
         for b in batches:
-            ids, part, size = [], [], 0
-            texts = b.column("text").to_pylist()
-            for i, t in enumerate(texts, 1):
-                part.append(words_of(t.encode()))
-                size += len(part[-1])
-                if size >= 50_000 or i == len(texts):
-                    sub.learn(set(chain.from_iterable(part)))
-                    ids += [b"".join([*map(sub.__getitem__, words), sub.tail]) for words in part]
-                    part, size = [], 0
+            ids, texts = [], b.column("text")
+            for lo, hi in _runs(pc.binary_length(texts).to_pylist(), 8_000_000):
+                block = Block([], [], sub)
+                numbers = block.texts(texts.slice(lo, hi - lo))
+                block.close()
+                ids += [x.tobytes() for i, j in _runs(map(len, numbers), 40_000) for x in block.stream(numbers[i:j])[0]]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column("kept")], names=["ids", "kept"])
+        trim()
 
     return rows.mapInArrow(run, "ids binary, kept boolean")
 
@@ -291,6 +290,7 @@ def _trained(model: Attention, streams: DataFrame, start: int) -> tuple[int, np.
         for ids in _arrays(batches):
             over.add(windows(ids, start, over.model.pad)[0])
         over.close()
+        trim()
         return over.table(held.value)
 
     return take_means(model, _row_sums(streams, run, table_rows(model), DIM + 1))
@@ -355,12 +355,7 @@ def score(docs: DataFrame, path: str, pattern: str, folds: int = 7, held: int =
         texts = block.texts(left.column("text"))
         block.close()
         tokens, known, base, full = [], [], [], []
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < 40_000):
-                size += len(texts[hi])
-                hi += 1
+        for lo, hi in _runs(map(len, texts), 40_000):
             ids, sizes, c = block.stream(texts[lo:hi])
             n = np.array([len(t) for t in texts[lo:hi]])
             at = np.cumsum(n) - n
@@ -368,7 +363,8 @@ def score(docs: DataFrame, path: str, pattern: str, folds: int = 7, held: int =
             known += np.add.reduceat((c > 0).astype(np.int64), at).tolist()
             base += np.add.reduceat(np.log10((c + 1) / (total + (distinct + 1))), at).tolist()
             full += np.add.reduceat(model.mixed(c, model.attention_log(ids, sizes, sub.end)), at).tolist()
-            lo = hi
+        del block, texts
+        trim()
         return pa.table({"doc_id": left.column("doc_id"), "held_out": pa.array([not x for x in left.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())})
 
     kind = docs.schema[id_col].dataType.simpleString()

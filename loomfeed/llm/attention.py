@@ -69,45 +69,75 @@ class Attention:
         z -= z.max(1, keepdims=True)
         return seen, x, k, v, last, q, s, a, h, z
 
-    def _quick(self, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """What the output layer gets at some of the new places; sums without the usual shift by the maximum: float32 holds them unless a score is over 80."""
+    def _used(self, w: np.ndarray) -> np.ndarray:
+        """How many new ids of each window begin words."""
+        return (self.class_of[w[:, CONTEXT:]] >= 0).sum(1)
+
+    def _attended(self, w: np.ndarray, query: np.ndarray):
+        """Attention of the places before new ids that begin words, in order, over unprojected embeddings; query: from an embedding to the scores of others.
+
+        Gives the class of each such id, its slot (a window has as many as the most such ids of any), the place before it, the embeddings seen, the queries and weights by slots, and the mean embedding of each place.
+        """
         seen = w[:, :-1]
+        of = self.class_of[w[:, CONTEXT:].ravel()]
+        rows = np.flatnonzero(of >= 0)
+        at, place = np.divmod(rows, NEW)
+        count = np.bincount(at, minlength=len(w))
+        wide = int(count.max(initial=0))
+        slot = np.arange(len(rows)) + np.repeat(np.arange(len(w)) * wide - (np.cumsum(count) - count), count)
+        before = at * seen.shape[1] + place + (CONTEXT - 1)
         x = np.take(self.E, seen, axis=0)
         x += self.P
-        flat = x.reshape(-1, DIM)
-        k, v = np.ascontiguousarray((flat @ self.Wk).reshape(x.shape).transpose(0, 2, 1)), (flat @ self.Wv).reshape(x.shape)
-        last = x[:, CONTEXT - 1 :].reshape(-1, DIM)
-        s = np.matmul((last @ (self.Wq / np.float32(np.sqrt(DIM)))).reshape(-1, NEW, DIM), k)
-        s += self.mask
+        places = np.zeros(len(w) * wide, np.int64)
+        places[slot] = place
+        q = np.zeros((len(places), DIM), np.float32)
+        q[slot] = np.take(x.reshape(-1, DIM), before, axis=0) @ query
+        q = q.reshape(len(w), wide, DIM)
+        s = np.matmul(q, x.transpose(0, 2, 1))
+        far = max(s.max(initial=0), -s.min(initial=0)) > 80  # else float32 holds the sums without a shift by the maximum
+        s += np.take(self.mask, places, axis=0).reshape(s.shape)
         begins = np.flatnonzero(seen[:, 0] == self.pad)  # only a text's first window has padding before its ids
         s[begins] += np.where(seen[begins] == self.pad, np.float32(-1e9), np.float32(0))[:, None]
+        if far and s.size:
+            s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        a = np.matmul(s, v).reshape(-1, DIM)
-        a /= s.reshape(-1, s.shape[2]) @ np.ones((s.shape[2], 1), np.float32)
-        h = a[rows] @ self.Wo
-        h += last[rows]
-        return h
+        s /= (s.reshape(-1, s.shape[2]) @ np.ones((s.shape[2], 1), np.float32)).reshape(len(w), wide, 1)
+        return of[rows], slot, before, x, q, s, np.take(np.matmul(s, x).reshape(-1, DIM), slot, axis=0)
+
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """From an embedding to the scores of others, and from a mean embedding to what attention adds: products of two weights each."""
+        return self.Wq @ self.Wk.T / np.float32(np.sqrt(DIM)), self.Wv @ self.Wo
+
+    def _classes(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the output layer, their sums, and the log-probability of each class."""
+        p = h @ self.Wc
+        p += self.b
+        flat = np.arange(len(of)) * CLASSES + of
+        own = p.ravel()[flat]
+        with np.errstate(over="ignore"):
+            np.exp(p, out=p)
+            total = p @ np.ones(CLASSES, np.float32)
+        if not (np.isfinite(total) & (total > 1e-30)).all():
+            p = h @ self.Wc + self.b
+            p -= p.max(1, keepdims=True)
+            own = p.ravel()[flat]
+            np.exp(p, out=p)
+            total = p @ np.ones(CLASSES, np.float32)
+        return p, total, own - np.log(total)
 
     def log_p(self, w: np.ndarray, batch: int = 192) -> np.ndarray:
         """Natural log-probability of the class of each new id that begins a word, given the ids before it; 0 at other places."""
         out = np.zeros((len(w), NEW), np.float32)
-        weight = np.exp(self.b)
-        for i in range(0, len(w), batch):
-            part = w[i : i + batch]
-            of = self.class_of[part[:, CONTEXT:].ravel()]
-            rows = np.flatnonzero(of >= 0)
-            at = np.arange(len(rows)), of[rows]
-            with np.errstate(all="ignore"):
-                h = self._quick(part, rows)
-                z = h @ self.Wc
-                own = z[at] + self.b[at[1]]
-                np.exp(z, out=z)
-                lp = own - np.log(z @ weight)
-            if not np.isfinite(lp).all():
-                z = self._forward(part)[-1][rows]
-                own = z[at]
-                lp = own - np.log(np.exp(z).sum(1))
-            out[i : i + batch].reshape(-1)[rows] = lp
+        query, value = self._folded()
+        used = self._used(w)
+        order = np.argsort(used, kind="stable")[np.count_nonzero(used == 0) :]
+        for i in range(0, len(order), batch):
+            part = w[order[i : i + batch]]
+            of, _, before, x, _, _, mean = self._attended(part, query)
+            h = np.take(x.reshape(-1, DIM), before, axis=0)
+            h += mean @ value
+            at, place = np.divmod(before, x.shape[1])
+            out[order[i : i + batch][at], place - (CONTEXT - 1)] = self._classes(h, of)[2]
         return out
 
     def train(self, w: np.ndarray, steps: int, batch: int = 192, rate: float = 0.01, seed: int = 5) -> None:
@@ -157,61 +187,36 @@ class Attention:
 
     def sums(self, w: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Gradients summed over the new ids that begin words, of all weights but the embedding; the ids seen with the gradients of their rows; the log of how much likelier each class is than its prior."""
-        seen = w[:, :-1]
-        of = self.class_of[w[:, CONTEXT:].ravel()]
-        rows = np.flatnonzero(of >= 0)
-        of, at = of[rows], np.arange(len(rows))
-        x = np.take(self.E, seen, axis=0)
-        x += self.P
-        flat = x.reshape(-1, DIM)
-        k, v = (flat @ self.Wk).reshape(x.shape), (flat @ self.Wv).reshape(x.shape)
-        last = np.ascontiguousarray(x[:, CONTEXT - 1 :]).reshape(-1, DIM)
-        scaled = self.Wq / np.float32(np.sqrt(DIM))
-        q = (last @ scaled).reshape(-1, NEW, DIM)
-        s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-        wide = np.abs(s).max(initial=0) > 80  # else float32 holds the sums
-        s += self.mask
-        begins = np.flatnonzero(seen[:, 0] == self.pad)  # only a text's first window has padding before its ids
-        s[begins] += np.where(seen[begins] == self.pad, np.float32(-1e9), np.float32(0))[:, None]
-        if wide:
-            s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= (s.reshape(-1, s.shape[2]) @ np.ones((s.shape[2], 1), np.float32)).reshape(-1, NEW, 1)
-        a = np.matmul(s, v).reshape(-1, DIM)
-        h = a[rows] @ self.Wo
-        h += last[rows]
-        p = h @ self.Wc
-        p += self.b
-        if np.abs(p).max(initial=0) > 80:
-            p -= p.max(1, keepdims=True)
-        own = p[at, of]
-        np.exp(p, out=p)
-        total = p @ np.ones(CLASSES, np.float32)
-        ratio = own - np.log(total) - self.prior[of]
-        p /= total[:, None]
-        p[at, of] -= 1
-        g = {"Wc": h.T @ p, "b": p.sum(0)}
+        query, value = self._folded()
+        of, slot, before, x, q, s, mean = self._attended(w, query)
+        last = np.take(x.reshape(-1, DIM), before, axis=0)
+        h = mean @ value
+        h += last
+        p, total, own = self._classes(h, of)
+        p *= (1 / total)[:, None]
+        p.ravel()[np.arange(len(of)) * CLASSES + of] -= 1
+        g = {"Wc": h.T @ p, "b": np.ones(len(p), np.float32) @ p}
         dh = p @ self.Wc.T
-        g["Wo"] = a[rows].T @ dh
-        da = np.zeros_like(a)
-        da[rows] = dh @ self.Wo.T
-        inner = ((da * a) @ np.ones((DIM, 1), np.float32)).reshape(-1, NEW, 1)  # of each place's weights with their gradients
-        da = da.reshape(-1, NEW, DIM)
-        dv = np.matmul(np.ascontiguousarray(s.transpose(0, 2, 1)), da)
-        ds = np.matmul(da, np.ascontiguousarray(v.transpose(0, 2, 1)))
-        ds -= inner
+        dvalue = mean.T @ dh
+        g["Wv"], g["Wo"] = dvalue @ self.Wo.T, self.Wv.T @ dvalue
+        dmean = dh @ value.T
+        inner, dm = np.zeros((s.shape[0] * s.shape[1], 1), np.float32), np.zeros((s.shape[0] * s.shape[1], DIM), np.float32)
+        inner[slot, 0] = (dmean * mean) @ np.ones(DIM, np.float32)  # of each place's weights with their gradients
+        dm[slot] = dmean
+        dm = dm.reshape(q.shape)
+        ds = np.matmul(dm, x.transpose(0, 2, 1))
+        ds -= inner.reshape(*s.shape[:2], 1)
         ds *= s
-        dq = np.matmul(ds, k).reshape(-1, DIM)
-        dk = np.matmul(np.ascontiguousarray(ds.transpose(0, 2, 1)), q)
-        dk, dv = dk.reshape(-1, DIM), dv.reshape(-1, DIM)
-        g["Wq"] = last.T @ dq / np.float32(np.sqrt(DIM))
-        g["Wk"], g["Wv"] = flat.T @ dk, flat.T @ dv
-        dx = (dk @ self.Wk.T + dv @ self.Wv.T).reshape(x.shape)
-        dlast = dq @ scaled.T
-        dlast[rows] += dh
-        dx[:, CONTEXT - 1 :] += dlast.reshape(-1, NEW, DIM)
-        g["P"] = dx.sum(0)
-        return g, seen.ravel(), dx.reshape(-1, DIM), ratio
+        dq = np.take(np.matmul(ds, x).reshape(-1, DIM), slot, axis=0)
+        dquery = last.T @ dq / np.float32(np.sqrt(DIM))
+        g["Wq"], g["Wk"] = dquery @ self.Wk, dquery.T @ self.Wq
+        dx = np.matmul(s.transpose(0, 2, 1), dm)
+        dx += np.matmul(ds.transpose(0, 2, 1), q)
+        flat = dx.reshape(-1, DIM)
+        dh += dq @ query.T
+        flat[before] += dh
+        g["P"] = (np.ones(len(w), np.float32) @ dx.reshape(len(w), self.P.size)).reshape(self.P.shape)
+        return g, w[:, :-1].ravel(), flat, own - self.prior[of]
 
 
 class Pass:
@@ -247,6 +252,7 @@ class Pass:
 
     def _step(self, w: np.ndarray) -> None:
         self.windows += len(w)
+        w = w[np.argsort(self.model._used(w), kind="stable")]
         parts = [self.model.sums(w[i : i + 128]) for i in range(0, len(w), 128)]
         n = sum(len(ratio) for *_, ratio in parts)
         if not n:

@@ -364,6 +364,22 @@ def test_words_encoded_together_are_encoded_alone():
     assert list(lm_score._runs([3, 1, 5, 0, 9], 5)) == [(0, 3), (3, 5)] and list(lm_score._runs([], 5)) == [] and list(lm_score._runs([9, 1], 5)) == [(0, 1), (1, 2)]
 
 
+def test_attention_is_reckoned_where_a_word_begins():
+    """No query is made at places whose next id begins no word, and windows without one need none."""
+    rng = np.random.default_rng(11)
+    model = Attention(40, np.where(np.arange(40) % 3 == 0, np.arange(40) % CLASSES, -1), np.ones(CLASSES))
+    w, _ = windows([rng.integers(0, 40, n).astype(np.int32) for n in (3, 100, 17)] + [np.full(5, 1, np.int32)], 0, 40)
+    used = (model.class_of[w[:, CONTEXT:]] >= 0).sum(1)
+    of, slot, before, x, q, s, mean = model._attended(w, model._folded()[0])
+    assert s.shape == (len(w), used.max(), CONTEXT + NEW - 1) and 0 < used.max() < NEW and used[-1] == 0
+    assert len(of) == len(slot) == len(before) == len(mean) == used.sum() and (used == model._used(w)).all()
+    assert np.allclose(s.reshape(-1, s.shape[2])[slot].sum(1), 1) and len(set(slot.tolist())) == len(slot)
+    for part in (w[:0], w[-1:]):
+        g, seen, dx, ratio = model.sums(part)
+        assert len(ratio) == 0 and dx.shape == (seen.size, model.E.shape[1]) and not dx.any() and not any(a.any() for a in g.values())
+        assert not model.log_p(part).any()
+
+
 def test_weight_from_ratios():
     s = Scorer(None, 6, 3, 1, np.ones(2))
     ratios = np.zeros(BINS)

@@ -321,10 +321,11 @@ def features(texts: list[np.ndarray], top: np.ndarray, n: int) -> np.ndarray:
     mark[top] = np.arange(len(top))
     gap = np.full(8, n, np.int32)
     ids = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
-    keys = []
+    at = np.flatnonzero(mark[ids] >= 0)  # each with eight places after it
+    before, keys = mark[ids[at]], []
     for back in range(1, 9):
-        before, own = mark[ids[:-back]], ids[back:]
-        ok = np.flatnonzero((before >= 0) & (own < n))
+        own = ids[at + back]
+        ok = own < n
         keys.append(own[ok].astype(np.int64) * len(top) + before[ok])
     return np.bincount(np.concatenate(keys), minlength=n * len(top)).reshape(n, len(top))
 

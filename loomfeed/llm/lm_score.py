@@ -1,21 +1,22 @@
 """Language-model scores of documents.
 
-Documents are dealt into blocks of bounded size. Each block sends its distinct words with
-their counts in training documents once; the counts are summed per word over the corpus
-and sent back to the blocks that hold the word, so the traffic is of distinct words, not
-of tokens. A block is then scored as a whole: word counts give the base score, and the
-model mixes them with a causal self-attention model over subword ids, which gives the
-class of the next word. That model starts from a few steps on the driver; then each task
-trains a copy, every weight of it, on all windows of its training texts, and the copies are
-averaged. The mixture's weight is fitted on what the copies foretold of each window before
-they were trained on it.
+Each task deals its documents into blocks of bounded size and numbers the words of each. A
+block sends its distinct words with their counts in training documents once, packed by the
+words' hash; where equal words meet, counts are summed over the corpus and each word is
+encoded once, and both go back to the blocks that hold the word, so the traffic is of
+distinct words, not of tokens. Then each text is a row of subword ids and of its words'
+counts. Word counts give the base score, and the model mixes them with a causal
+self-attention model over subword ids, which gives the class of the next word. That model
+starts from a few steps on the driver; then each task trains a copy, every weight of it, on
+all windows of its training texts, and the copies are averaged. The mixture's weight is
+fitted on what the copies foretold of each window before they were trained on it.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,16 +29,11 @@ from .attention import BIN, BINS, CLASSES, DIM, Attention, Pass, classes, featur
 from .common import discard, materialise, trim
 
 END = b" "  # no word is a space
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _subwords: dict = {}
 #: Spaces that words may begin or end with.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
-
-
 class Subwords(dict):
     """word -> ids as int32 bytes, of a public rank file; the end is the id after the last one. Emptied when it holds `bound` words."""
 
@@ -80,50 +76,52 @@ def subwords(path: str, pattern: str) -> Subwords:
     return _subwords[path, pattern]
 
 
-def _stream(texts: list[list[bytes]], sub: Subwords) -> tuple[list[np.ndarray], np.ndarray]:
-    """Ids of each text (words, then the end), and the number of ids of every word."""
-    out, sizes = [], []
-    for words in texts:
-        parts = list(map(sub.__getitem__, words))
-        parts.append(sub.tail)
-        out.append(np.frombuffer(b"".join(parts), np.int32))
-        sizes += map(len, parts)
-    return out, np.array(sizes, np.int64) >> 2
-
-
-class Block(dict):
-    """word -> number, with the count and the ids of each number; words without a count get one when they come."""
-
-    def __init__(self, words: list[bytes], counts: list[int], sub: Subwords):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.sub, self.words, self.known = sub, words, counts
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.words.append(word)
-        return n
-
-    def texts(self, texts) -> list[np.ndarray]:
-        """The word numbers of each text, with its end."""
-        end = self[END]
-        return [np.array([*map(self.__getitem__, words_of(t.as_py().encode())), end], np.int32) for t in texts]
-
-    def close(self) -> None:
-        """All texts have been numbered: lay counts and ids out as arrays."""
-        self.counts = np.zeros(len(self.words))
-        self.counts[: len(self.known)] = self.known
-        flat, sizes = zip(*(self.sub.encoded(self.words[i : i + 1024]) for i in range(0, len(self.words), 1024)))
-        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def stream(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Ids of each text, number of ids and count of every word."""
-        words = np.concatenate(texts)
-        sizes = self.sizes[words]
-        last = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[words] - (last - sizes), sizes) + np.arange(last[-1])]
-        ends = last[np.cumsum([len(t) for t in texts]) - 1]
-        return np.split(ids, ends[:-1]), sizes, self.counts[words]
+def _thin(a: np.ndarray) -> bytes:
+    """Numbers from 0 in the narrowest unsigned type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0)))).tobytes()
+
+
+def _thick(b: bytes, n: int) -> np.ndarray:
+    """The n numbers of _thin."""
+    return np.frombuffer(b, f"u{len(b) // n}") if n else np.zeros(0, np.uint8)
+
+
+def _numbered(texts: pa.Array, parts: int = 1) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts and the end, by parts (crc32 modulo parts); where each part begins, and the last ends; the word numbers of the texts, each with its end; how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    words = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+    code, blank = coded.indices.to_numpy(), pc.index(words, b"").as_py()  # what stands before a text's first space and after its last
+    kept = np.flatnonzero(code != blank)
+    sizes = np.diff(np.searchsorted(kept, lists.offsets.to_numpy())) + 1
+    numbers = np.full(len(kept) + len(texts), len(words) - 1, np.int32)
+    inner = np.ones(len(numbers), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    numbers[inner] = code[kept]
+    part = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % parts
+    if blank >= 0:
+        part[blank] = parts
+    order = np.argsort(part, kind="stable")
+    begins = np.searchsorted(part[order], np.arange(parts + 1))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return words.take(pa.array(order[: begins[-1]])), begins, rank[numbers], sizes
+
+
+def _encoded(words: list[bytes], sub: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all the words, one after the other, and how many each has."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    flat, sizes = zip(*(sub.encoded(words[i : i + 1024]) for i in range(0, len(words), 1024)))
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+def _spelt(numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of these numbers, and how many each has; flat, sizes: of word 0, 1, ..."""
+    own = sizes[numbers].astype(np.int64)
+    last = np.cumsum(own)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    return flat[np.repeat(starts[numbers] - (last - own), own) + np.arange(own.sum())], own
 
 
 class Scorer:
@@ -178,39 +176,125 @@ def _runs(sizes: Iterable[int], bound: int) -> Iterator[tuple[int, int]]:
         yield lo, end
 
 
-def _vocabulary(blocked: DataFrame) -> DataFrame:
-    """(block, text, train) -> (block, word, c): the distinct words of each block with their counts in its training documents."""
+def _blocks(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.Table]:
+    """All rows, in tables of some `bound` bytes of text; a longer text comes whole."""
+    held, size = [], 0
+    for b in batches:
+        last = 0
+        for i, n in enumerate(pc.binary_length(b.column("text")).to_pylist(), 1):
+            size += n + 16
+            if size >= bound:
+                yield pa.Table.from_batches([*held, b.slice(last, i - last)])
+                held, size, last = [], 0, i
+        if last < len(b):
+            held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(key, t):
-        seen: Counter = Counter()
-        for text, train in zip(t.column("text").to_pylist(), t.column("train").to_pylist(), strict=True):
-            w = words_of(text.encode())
-            w.append(END)
-            seen.update(w) if train else seen.update(dict.fromkeys(w, 0))
+
+def _dealt(rows: DataFrame, parts: int, block_bytes: int) -> DataFrame:
+    """(task, doc_id, text, train) -> rows of texts and rows of words of each block.
+
+    A text has its word numbers; words come by parts, in the order of their numbers, one
+    after the other with their lengths and their counts in training texts.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, t in enumerate(_blocks(batches, block_bytes)):
+            t = t.combine_chunks()
+            block = t.column("task")[0].as_py() << 32 | k
+            words, begins, numbers, sizes = _numbered(t.column("text").chunk(0), parts)
+            ends = np.cumsum(sizes)
+            train = t.column("train").to_numpy()
+            c = np.bincount(numbers[np.repeat(train, sizes)], minlength=len(words))
+            n, ids = len(t), t.column("doc_id").chunk(0)
+            own = [numbers[e - x : e].tobytes() for e, x in zip(ends, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, t.column("train").chunk(0), pa.array(own, pa.binary()), *(pa.nulls(n, x) for x in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+            lengths = pc.binary_length(words).to_numpy()
+            some = [(int(p), int(lo), int(hi)) for p, (lo, hi) in enumerate(zip(begins[:-1], begins[1:])) if lo < hi]
+            joined = [b"".join(words[lo:hi].to_pylist()) for _, lo, hi in some]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, ids.type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array([p for p, *_ in some], pa.int32()), pa.array([hi - lo for _, lo, hi in some], pa.int32()), pa.array(joined, pa.binary()), pa.array([_thin(lengths[lo:hi]) for _, lo, hi in some], pa.binary()), pa.array([_thin(c[lo:hi]) for _, lo, hi in some], pa.binary())], names=names)
         trim()
-        return pa.table({"block": pa.array([key[0].as_py()] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
 
-    return blocked.groupBy("block").applyInArrow(run, "block int, word binary, c long")
+    names = ["block", "doc_id", "train", "numbers", "part", "n", "words", "lengths", "c"]
+    return rows.mapInArrow(run, f"block long, doc_id {kind}, train boolean, numbers binary, part int, n int, words binary, lengths binary, c binary")
 
 
-def _id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
-    """How many words of the training documents each subword id begins; as long as the vocabulary."""
+def _counted(words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(block, part, n, words, lengths, c) of each block -> its words' counts in the corpus, numbers of ids, and ids.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A part's first row also has its sum of counts, its words with a count and with a count
+    of one, and how many words of training texts each subword id begins.
+    """
+
+    def run(key, t):
         sub = subwords(path, pattern)
-        total = np.zeros(sub.size, np.int64)
-        for b in batches:
-            words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
-            for i in range(0, len(words), 1024):
-                flat, sizes = sub.encoded(words[i : i + 1024])
-                np.add.at(total, flat[np.cumsum(sizes) - sizes], c[i : i + 1024])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
+        n = t.column("n").to_pylist()
+        lengths, c = (np.concatenate([_thick(x, k) for x, k in zip(t.column(name).to_pylist(), n)]).astype(np.int64) for name in ("lengths", "c"))
+        offsets = np.append(0, np.cumsum(lengths))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(t.column("words").to_pylist()))]).dictionary_encode()
+        code = coded.indices.to_numpy()
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, code, c)
+        flat, sizes = _encoded(coded.dictionary.to_pylist(), sub)
+        begun = np.zeros(sub.size, np.int64)
+        np.add.at(begun, flat[np.cumsum(sizes) - sizes], total)
+        at = np.flatnonzero(begun)
+        ends, out = np.cumsum(n), []
+        for k, e in zip(n, ends):
+            ids, own = _spelt(code[e - k : e], flat, sizes)
+            out.append((_thin(total[code[e - k : e]]), _thin(own), ids.tobytes()))
+        once = lambda x, kind: pa.array([x] + [None] * (len(n) - 1), kind)
+        trim()
+        return pa.table(
+            {
+                "block": t.column("block"),
+                "part": t.column("part"),
+                "n": t.column("n"),
+                **{name: pa.array(list(x), pa.binary()) for name, x in zip(("c", "sizes", "ids"), zip(*out))},
+                "total": once(int(total.sum()), pa.int64()),
+                "distinct": once(int((total > 0).sum()), pa.int64()),
+                "single": once(int((total == 1).sum()), pa.int64()),
+                "begun": once([{"id": i, "c": x} for i, x in zip(at.tolist(), begun[at].tolist())], pa.list_(pa.struct([("id", pa.int64()), ("c", pa.int64())]))),
+            }
+        )
+
+    return words.groupBy("part").applyInArrow(run, "block long, part int, n int, c binary, sizes binary, ids binary, total long, distinct long, single long, begun array<struct<id: long, c: long>>")
+
+
+def _streams(texts: DataFrame, counted: DataFrame, total: int, distinct: int) -> DataFrame:
+    """Texts and words of the blocks -> doc_id, train, n_tokens, n_known, base_score, and of each text the ids as int32, its words' numbers of ids and their counts."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(left, right):
+        right = right.sort_by("part")
+        n = right.column("n").to_pylist()
+        c, sizes = (np.concatenate([_thick(x, k) for x, k in zip(right.column(name).to_pylist(), n)]).astype(np.int64) for name in ("c", "sizes"))
+        flat = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int32)
+        base = np.log10((c + 1) / (total + (distinct + 1)))
+        known = (c > 0).astype(np.int64)
+        out = {name: [] for name in ("n_tokens", "n_known", "base_score", "ids", "sizes", "counts")}
+        texts = [np.frombuffer(x, np.int32) for x in left.column("numbers").to_pylist()]
+        for lo, hi in _runs(map(len, texts), 40_000):
+            words = np.concatenate(texts[lo:hi])
+            tokens = np.array([len(x) for x in texts[lo:hi]])
+            ends = np.cumsum(tokens)
+            ids, own = _spelt(words, flat, sizes)
+            out["n_tokens"] += tokens.tolist()
+            out["n_known"] += np.add.reduceat(known[words], ends - tokens).tolist()
+            out["base_score"] += np.add.reduceat(base[words], ends - tokens).tolist()
+            out["ids"] += [x.tobytes() for x in np.split(ids, np.cumsum(own)[ends[:-1] - 1])]
+            out["sizes"] += map(_thin, np.split(own, ends[:-1]))
+            out["counts"] += map(_thin, np.split(c[words], ends[:-1]))
+        kinds = pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()
+        table = pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), **{name: pa.array(x, t) for (name, x), t in zip(out.items(), kinds)}})
+        del texts, out
+        trim()
+        return table
 
-    out = np.zeros(subwords(path, pattern).size, np.int64)
-    for r in counts.mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
-        out[r["id"]] = r["c"]
-    return out
+    return texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, ids binary, sizes binary, counts binary")
 
 
 def _id_streams(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -218,14 +302,12 @@ def _id_streams(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
-        for b in batches:
-            ids, texts = [], b.column("text")
-            for lo, hi in _runs(pc.binary_length(texts).to_pylist(), 8_000_000):
-                block = Block([], [], sub)
-                numbers = block.texts(texts.slice(lo, hi - lo))
-                block.close()
-                ids += [x.tobytes() for i, j in _runs(map(len, numbers), 40_000) for x in block.stream(numbers[i:j])[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column("kept")], names=["ids", "kept"])
+        for t in _blocks(batches, 8_000_000):
+            t = t.combine_chunks()
+            words, _, numbers, n = _numbered(t.column("text").chunk(0))
+            ids, sizes = _spelt(numbers, *_encoded(words.to_pylist(), sub))
+            ends = np.cumsum(sizes)[np.cumsum(n) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary()), t.column("kept").chunk(0)], names=["ids", "kept"])
         trim()
 
     return rows.mapInArrow(run, "ids binary, kept boolean")
@@ -301,17 +383,15 @@ def train_all(model: Attention, streams: DataFrame, start: int) -> int:
     return _trained(model, streams, start)[0]
 
 
-def fit(counts: DataFrame, streams: DataFrame, first: list[str], path: str, pattern: str, steps: int) -> Scorer:
-    """Train the attention model and fit the weight on all streams; its weights start from some steps on the texts `first`."""
-    total, distinct, single = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+def fit(counts: np.ndarray, total: int, distinct: int, single: int, streams: DataFrame, first: list[np.ndarray], path: str, pattern: str, steps: int) -> Scorer:
+    """Train the attention model and fit the weight on all streams; its weights start from some steps on the ids `first`. counts: of the words that each id begins."""
     sub = subwords(path, pattern)
-    n = _id_counts(counts, path, pattern)
-    top = frequent(n)
-    top = top[n[top] > 0] if n.any() else np.array([sub.end])
-    class_of = classes(_features(streams, top, len(n)), top, sub.begins)
-    of_class = np.bincount(np.maximum(class_of, 0), np.where(class_of >= 0, n, 0), CLASSES)
+    top = frequent(counts)
+    top = top[counts[top] > 0] if counts.any() else np.array([sub.end])
+    class_of = classes(_features(streams, top, len(counts)), top, sub.begins)
+    of_class = np.bincount(np.maximum(class_of, 0), np.where(class_of >= 0, counts, 0), CLASSES)
     model = Attention(sub.size, class_of, of_class)
-    w, _ = windows(_stream([words_of(t.encode()) for t in first], sub)[0], sub.end, model.pad)
+    w, _ = windows(first, sub.end, model.pad)
     if len(w) and steps:
         model.train(w, steps)
     _, ratios = _trained(model, streams, sub.end)
@@ -334,38 +414,34 @@ def score(docs: DataFrame, path: str, pattern: str, folds: int = 7, held: int =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("fold", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds).withColumn("train", F.col("fold") != held)
     n_bytes, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    blocks = max(1, -(-n_bytes // block_bytes))
-    blocked = rows.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    vocabulary = materialise(_vocabulary(blocked.select("block", "text", "train")), "vocabulary")
-    counts = materialise(vocabulary.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "word-counts")
+    parts = 8 * max(1, round(np.sqrt(n_bytes / block_bytes)))
+    dealt = materialise(_dealt(rows.select(F.spark_partition_id().cast("long").alias("task"), "doc_id", "text", "train"), parts, block_bytes), "words")
+    counted = materialise(_counted(dealt.where("part IS NOT NULL").select("block", "part", "n", "words", "lengths", "c"), path, pattern), "word-counts")
+    total, distinct, single = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "single"))).first()
+    counts = np.zeros(subwords(path, pattern).size, np.int64)
+    for r in counted.where("begun IS NOT NULL").select(F.explode("begun").alias("x")).groupBy("x.id").agg(F.sum("x.c").alias("c")).collect():
+        counts[r["id"]] = r["c"]
+    streams = materialise(_streams(dealt.where("part IS NULL").select("block", "doc_id", "train", "numbers"), counted.select("block", "part", "n", "c", "sizes", "ids"), total, distinct), "ids")
+    discard(dealt)
+    discard(counted)
     share = min(1.0, sample / max(1, n_train))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    texts = rows.where("train").select("doc_id", "text", F.lit(True).alias("kept"), (draw < share * (1 << 20)).alias("drawn"))
-    drawn = texts.where("drawn").orderBy("doc_id").collect()
-    streams = materialise(_id_streams(texts.select("text", "kept"), path, pattern), "ids")
-    scorer = fit(counts, streams, [r["text"] for r in drawn], path, pattern, steps)
-    discard(streams)
+    drawn = rows.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)).orderBy("doc_id")
+    first = [np.frombuffer(r["ids"], np.int32) for r in _id_streams(drawn.select("text", F.lit(True).alias("kept")), path, pattern).collect()]
+    scorer = fit(counts, total, distinct, single, streams.where("train").select("ids"), first, path, pattern, steps)
     held_model = spark.sparkContext.broadcast(scorer)
-    own = vocabulary.select("block", "word").join(counts, "word").select("block", "word", "c")
-    total, distinct = scorer.total, scorer.distinct
+    end = subwords(path, pattern).end
 
-    def run(left, right):
-        model, sub = held_model.value, subwords(path, pattern)
-        block = Block(right.column("word").to_pylist(), right.column("c").to_pylist(), sub)
-        texts = block.texts(left.column("text"))
-        block.close()
-        tokens, known, base, full = [], [], [], []
-        for lo, hi in _runs(map(len, texts), 40_000):
-            ids, sizes, c = block.stream(texts[lo:hi])
-            n = np.array([len(t) for t in texts[lo:hi]])
-            at = np.cumsum(n) - n
-            tokens += n.tolist()
-            known += np.add.reduceat((c > 0).astype(np.int64), at).tolist()
-            base += np.add.reduceat(np.log10((c + 1) / (total + (distinct + 1))), at).tolist()
-            full += np.add.reduceat(model.mixed(c, model.attention_log(ids, sizes, sub.end)), at).tolist()
-        del block, texts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held_model.value
+        for b in batches:
+            tokens = b.column("n_tokens").to_numpy()
+            for lo, hi in _runs(tokens.tolist(), 40_000):
+                part, n = b.slice(lo, hi - lo), tokens[lo:hi].tolist()
+                sizes, c = (np.concatenate([_thick(x, k) for x, k in zip(part.column(name).to_pylist(), n)]).astype(np.int64) for name in ("sizes", "counts"))
+                ids = [np.frombuffer(x, np.int32) for x in part.column("ids").to_pylist()]
+                full = np.add.reduceat(model.mixed(c, model.attention_log(ids, sizes, end)), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.invert(part.column("train")), part.column("n_tokens"), part.column("n_known"), pa.array([total] * len(n), pa.int64()), part.column("base_score"), pa.array(full, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         trim()
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": pa.array([not x for x in left.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return blocked.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return streams.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

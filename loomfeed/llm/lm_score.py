@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .attention import BIN, BINS, CLASSES, DIM, Attention, Pass, classes, features, frequent, table_rows, take_means, windows
 from .common import discard, materialise, trim
+from .wordnp import hashes
 
 END = b" "  # no word is a space
 _subwords: dict = {}
@@ -86,8 +86,14 @@ def _thick(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, f"u{len(b) // n}") if n else np.zeros(0, np.uint8)
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, one after the other, and where each begins and the last ends."""
+    _, at, data = words.buffers()
+    return np.frombuffer(data, np.uint8), np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1]
+
+
 def _numbered(texts: pa.Array, parts: int = 1) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of the texts and the end, by parts (crc32 modulo parts); where each part begins, and the last ends; the word numbers of the texts, each with its end; how many each has."""
+    """The distinct words of the texts and the end, by parts (their hash modulo parts); where each part begins, and the last ends; the word numbers of the texts, each with its end; how many each has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = lists.flatten().dictionary_encode()
     words = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
@@ -98,7 +104,8 @@ def _numbered(texts: pa.Array, parts: int = 1) -> tuple[pa.Array, np.ndarray, np
     inner = np.ones(len(numbers), bool)
     inner[np.cumsum(sizes) - 1] = False
     numbers[inner] = code[kept]
-    part = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % parts
+    data, at = _bytes(words)
+    part = (hashes(data, at[:-1], at[1:]) % np.uint64(parts)).astype(np.int64)
     if blank >= 0:
         part[blank] = parts
     order = np.argsort(part, kind="stable")
@@ -211,9 +218,10 @@ def _dealt(rows: DataFrame, parts: int, block_bytes: int) -> DataFrame:
             n, ids = len(t), t.column("doc_id").chunk(0)
             own = [numbers[e - x : e].tobytes() for e, x in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, t.column("train").chunk(0), pa.array(own, pa.binary()), *(pa.nulls(n, x) for x in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
-            lengths = pc.binary_length(words).to_numpy()
+            data, at = _bytes(words)
+            lengths = np.diff(at)
             some = [(int(p), int(lo), int(hi)) for p, (lo, hi) in enumerate(zip(begins[:-1], begins[1:])) if lo < hi]
-            joined = [b"".join(words[lo:hi].to_pylist()) for _, lo, hi in some]
+            joined = [data[at[lo] : at[hi]].tobytes() for _, lo, hi in some]
             n = len(some)
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, ids.type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array([p for p, *_ in some], pa.int32()), pa.array([hi - lo for _, lo, hi in some], pa.int32()), pa.array(joined, pa.binary()), pa.array([_thin(lengths[lo:hi]) for _, lo, hi in some], pa.binary()), pa.array([_thin(c[lo:hi]) for _, lo, hi in some], pa.binary())], names=names)
         trim()

@@ -380,6 +380,33 @@ def test_attention_is_reckoned_where_a_word_begins():
         assert not model.log_p(part).any()
 
 
+def test_each_word_is_counted_and_encoded_once_in_the_corpus(spark):
+    """Words of several blocks, tasks and parts come back with the corpus's count and ids, in the order of their numbers; no text is lost."""
+    args = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    sub = subwords(*args)
+    texts = ["", " \t ", "A b a", "\x0bb  c\u3000d\x85 \x1c", "é É b\n", *(f"w{i % 7} x{i} {'long' * (i % 40)} a" for i in range(60))]
+    rows = spark.createDataFrame([(i, t, i % 3 > 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
+    dealt = lm_score._dealt(rows.selectExpr("CAST(spark_partition_id() AS LONG) AS task", "*"), 5, 500).cache()
+    assert dealt.where("part IS NULL").select("block").distinct().count() > 3 and dealt.selectExpr("max(part) - min(part)").first()[0] == 4
+    counted = lm_score._counted(dealt.where("part IS NOT NULL"), *args).cache()
+    want = collections.Counter(x for i, t in enumerate(texts) if i % 3 for x in [*words(t, True), None])
+    total, distinct = sum(want.values()), len(want)
+    got = counted.selectExpr("sum(total)", "sum(distinct)", "sum(single)", "count(total)", "count(DISTINCT part)").first()
+    assert tuple(got) == (total, distinct, sum(x == 1 for x in want.values()), 5, 5)
+    begun = collections.Counter(int(np.frombuffer(sub[w] if w else sub.tail, np.int32)[0]) for w in want.elements())
+    assert {r.id: r.c for r in counted.selectExpr("inline(begun)").groupBy("id").agg(F.sum("c").alias("c")).collect()} == begun
+    out = {r.doc_id: r for r in lm_score._streams(dealt.where("part IS NULL"), counted, total, distinct).collect()}
+    assert sorted(out) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        own = [*words(t, True), None]
+        ids = [np.frombuffer(sub[w] if w else sub.tail, np.int32) for w in own]
+        r = out[i]
+        assert (r.n_tokens, r.n_known, r.train) == (len(own), sum(want[w] > 0 for w in own), i % 3 > 0)
+        assert np.frombuffer(r.ids, np.int32).tolist() == np.concatenate(ids).tolist()
+        assert lm_score._thick(r.sizes, len(own)).tolist() == list(map(len, ids)) and lm_score._thick(r.counts, len(own)).tolist() == [want[w] for w in own]
+        assert math.isclose(r.base_score, sum(math.log10((want[w] + 1) / (total + distinct + 1)) for w in own))
+
+
 def test_weight_from_ratios():
     s = Scorer(None, 6, 3, 1, np.ones(2))
     ratios = np.zeros(BINS)

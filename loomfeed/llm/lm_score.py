@@ -86,6 +86,16 @@ def _thick(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, f"u{len(b) // n}") if n else np.zeros(0, np.uint8)
 
 
+def _halves(a: np.ndarray) -> bytes:
+    """32-bit numbers from 0: their low 16 bits, then _thin of the high ones."""
+    return a.astype(np.uint16).tobytes() + _thin(a >> 16)
+
+
+def _whole(b: bytes, n: int) -> np.ndarray:
+    """The n numbers of _halves."""
+    return np.frombuffer(b, np.uint16, n).astype(np.int32) | _thick(b[2 * n :], n).astype(np.int32) << 16
+
+
 def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all words, one after the other, and where each begins and the last ends."""
     _, at, data = words.buffers()
@@ -202,7 +212,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.Table]
 def _dealt(rows: DataFrame, parts: int, block_bytes: int) -> DataFrame:
     """(task, doc_id, text, train) -> rows of texts and rows of words of each block.
 
-    A text has its word numbers; words come by parts, in the order of their numbers, one
+    A text has its word numbers and how many; words come by parts, in the order of their numbers, one
     after the other with their lengths and their counts in training texts.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -216,8 +226,8 @@ def _dealt(rows: DataFrame, parts: int, block_bytes: int) -> DataFrame:
             train = t.column("train").to_numpy()
             c = np.bincount(numbers[np.repeat(train, sizes)], minlength=len(words))
             n, ids = len(t), t.column("doc_id").chunk(0)
-            own = [numbers[e - x : e].tobytes() for e, x in zip(ends, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, t.column("train").chunk(0), pa.array(own, pa.binary()), *(pa.nulls(n, x) for x in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+            own = [_halves(numbers[e - x : e]) for e, x in zip(ends, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, t.column("train").chunk(0), pa.array(own, pa.binary()), pa.nulls(n, pa.int32()), pa.array(sizes, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], names=names)
             data, at = _bytes(words)
             lengths = np.diff(at)
             some = [(int(p), int(lo), int(hi)) for p, (lo, hi) in enumerate(zip(begins[:-1], begins[1:])) if lo < hi]
@@ -253,7 +263,7 @@ def _counted(words: DataFrame, path: str, pattern: str) -> DataFrame:
         ends, out = np.cumsum(n), []
         for k, e in zip(n, ends):
             ids, own = _spelt(code[e - k : e], flat, sizes)
-            out.append((_thin(total[code[e - k : e]]), _thin(own), ids.tobytes()))
+            out.append((_thin(total[code[e - k : e]]), _thin(own), _thin(ids)))
         once = lambda x, kind: pa.array([x] + [None] * (len(n) - 1), kind)
         trim()
         return pa.table(
@@ -279,12 +289,13 @@ def _streams(texts: DataFrame, counted: DataFrame, total: int, distinct: int) ->
     def run(left, right):
         right = right.sort_by("part")
         n = right.column("n").to_pylist()
-        c, sizes = (np.concatenate([_thick(x, k) for x, k in zip(right.column(name).to_pylist(), n)]).astype(np.int64) for name in ("c", "sizes"))
-        flat = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int32)
+        c, sizes = ([_thick(x, k) for x, k in zip(right.column(name).to_pylist(), n)] for name in ("c", "sizes"))
+        flat = np.concatenate([_thick(x, int(own.sum())) for x, own in zip(right.column("ids").to_pylist(), sizes)]).astype(np.int32)
+        c, sizes = (np.concatenate(x).astype(np.int64) for x in (c, sizes))
         base = np.log10((c + 1) / (total + (distinct + 1)))
         known = (c > 0).astype(np.int64)
         out = {name: [] for name in ("n_tokens", "n_known", "base_score", "ids", "sizes", "counts")}
-        texts = [np.frombuffer(x, np.int32) for x in left.column("numbers").to_pylist()]
+        texts = list(map(_whole, left.column("numbers").to_pylist(), left.column("n").to_pylist()))
         for lo, hi in _runs(map(len, texts), 40_000):
             words = np.concatenate(texts[lo:hi])
             tokens = np.array([len(x) for x in texts[lo:hi]])
@@ -429,7 +440,7 @@ def score(docs: DataFrame, path: str, pattern: str, folds: int = 7, held: int =
     counts = np.zeros(subwords(path, pattern).size, np.int64)
     for r in counted.where("begun IS NOT NULL").select(F.explode("begun").alias("x")).groupBy("x.id").agg(F.sum("x.c").alias("c")).collect():
         counts[r["id"]] = r["c"]
-    streams = materialise(_streams(dealt.where("part IS NULL").select("block", "doc_id", "train", "numbers"), counted.select("block", "part", "n", "c", "sizes", "ids"), total, distinct), "ids")
+    streams = materialise(_streams(dealt.where("part IS NULL").select("block", "doc_id", "train", "n", "numbers"), counted.select("block", "part", "n", "c", "sizes", "ids"), total, distinct), "ids")
     discard(dealt)
     discard(counted)
     share = min(1.0, sample / max(1, n_train))

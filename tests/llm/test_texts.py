@@ -407,6 +407,13 @@ def test_each_word_is_counted_and_encoded_once_in_the_corpus(spark):
         assert math.isclose(r.base_score, sum(math.log10((want[w] + 1) / (total + distinct + 1)) for w in own))
 
 
+def test_numbers_are_packed_whole():
+    for a in ([], [0], [65535, 0], [65536, 3], [2**24 - 1, 2**24, 2**31 - 1]):
+        a = np.array(a, np.int32)
+        assert lm_score._whole(lm_score._halves(a), len(a)).tolist() == lm_score._thick(lm_score._thin(a), len(a)).tolist() == a.tolist()
+    assert len(lm_score._halves(np.arange(70_000))) == 210_000
+
+
 def test_weight_from_ratios():
     s = Scorer(None, 6, 3, 1, np.ones(2))
     ratios = np.zeros(BINS)
